@@ -12,7 +12,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
 
     edges: columns a and b, of one orderable type. Nulls and loops are ignored, repeated edges count once, no edges
     give no rows. Each round points every node's larger neighbours (large-star), then its smaller ones (small-star),
-    at the smallest it sees; a round that changes nothing ends it. Neighbour minima are partial aggregates, so a
+    at the smallest it sees, until all edges are stars. Neighbour minima are partial aggregates, so a
     hub costs one row per task in the aggregation and is split by adaptive execution in the join.
     """
     e = (
@@ -21,18 +21,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         .distinct()
     )
     e = cut(e)
-    seen = None
     for _ in range(most_rounds):
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         e = cut(small.union(low).distinct())
-        now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
+        # settled: every node points at one smaller node, and that at none
+        many, ends = e.agg(F.count("*"), F.countDistinct("u")).first()
+        if many == ends and e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break
-        seen = now
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(

@@ -183,17 +183,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
     texts = cut(texts.join(few.select("id"), "id").dropDuplicates(["id", "text"]))
     links = cut(_confirm(_screen(stars, few, percent), texts, k, percent))
+    comps = cut(connected_components(links))
     for best_only in (True, False):
-        comps = connected_components(links)
         placed = shared.select("key", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
         placed = cut(placed)
         mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("key")
         rows = placed.join(mixed, "key").join(few, "id").select("key", "id", "n", "comp", "sig")
         found = cut(_confirm(_across(rows, percent, best_only), texts, k, percent))
         if found.isEmpty():
-            break
-        links = links.union(found)
-    comps = connected_components(links)
+            continue
+        comps = cut(connected_components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found)))
     classes = reps.join(comps.withColumnRenamed("node", "id"), "id", "left").select("print", F.coalesce("component", "id").alias("component_id"))
     out = signed.join(classes, "print", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

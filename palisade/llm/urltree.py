@@ -12,6 +12,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from palisade.llm._work import cut
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -32,8 +34,8 @@ STRENGTH, REJECT = 8.0, 0.5
 CHILDREN, FEW = 12, 3.0
 #: Squared z below which two shares count as alike.
 ALIKE = 3.84
-#: Segments that a template keeps; what follows is one tail mark (all pages stay).
-DEPTH = 6
+#: Segments of a template; what follows is one tail mark (all pages stay).
+DEPTH = 4
 
 
 def url_host(url: Column) -> Column:
@@ -100,7 +102,7 @@ def judge_urls(pages: DataFrame, rules=RULES, depth: int = DEPTH) -> DataFrame:
     shapes = one.groupBy("host", key.alias("shape")).agg(
         F.count("*").alias("n"), F.count("by_rule").alias("labelled"), F.count(F.when(F.col("by_rule") == "block", 1)).alias("blocked")
     )
-    shapes = shapes.withColumn("template", F.lit(""))
+    shapes = cut(shapes.withColumn("template", F.lit("")))
     # level by level: literal children of a branch point (host, template so far) are generalised or kept
     for level in range(depth + 1):
         here = shapes.withColumn("seg", F.coalesce(F.when(F.col("shape") != "", F.get(F.split("shape", "/"), F.lit(level))), F.lit("")))
@@ -112,7 +114,7 @@ def judge_urls(pages: DataFrame, rules=RULES, depth: int = DEPTH) -> DataFrame:
         merged = literal & (F.col("kn") < 3 * STRENGTH) & (F.col("children") > 2) & _alike(F.col("kb"), F.col("kl"), F.col("pb"), F.col("pl")) & (F.length("seg") > 3)
         names = judged.select("host", "template", "seg", F.when(wild | merged, F.lit("*")).otherwise(F.col("seg")).alias("name"))
         here = here.join(names, ["host", "template", "seg"], "left")
-        shapes = here.select("host", "shape", "n", "labelled", "blocked", F.concat("template", F.coalesce(F.concat(F.lit("/"), F.col("name")), F.lit(""))).alias("template"))
+        shapes = cut(here.select("host", "shape", "n", "labelled", "blocked", F.concat("template", F.coalesce(F.concat(F.lit("/"), F.col("name")), F.lit(""))).alias("template")))
     first = F.concat(F.lit("/"), F.get(F.split("template", "/"), F.lit(1)))
     shapes = shapes.withColumn("top", F.coalesce(first, F.lit("")))
     own = shapes.groupBy("host", "template", "top").agg(F.sum("labelled").alias("l0"), F.sum("blocked").alias("b0"))

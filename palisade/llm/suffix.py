@@ -145,6 +145,18 @@ def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def _narrow(a: np.ndarray, size: int) -> np.ndarray:
+    """The low `size` bytes of each number. Within a part, anchor and whole together still tell strings apart by 96 bits."""
+    return np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, 8)[:, :size]).view(f"V{size}").ravel() if len(a) else np.zeros(0, f"V{size}")
+
+
+def _wide(a: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(a), 8), np.uint8)
+    if len(a):
+        out[:, : a.dtype.itemsize] = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1)
+    return out.view(np.uint64).ravel()
+
+
 _ROWS = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("print", pa.int64()), ("blob", pa.binary())])
 _ROWS_SQL = "part int, kind int, doc_id long, print long, blob binary"
 #: Kinds of rows: runs to be settled; strings that are covered, of one document; runs whose bytes are asked for, of one document.
@@ -212,7 +224,7 @@ def _covered(docs: DataFrame, length: int) -> DataFrame:
                 if len(r):
                     change = np.concatenate([[True], (doc[r][1:] != doc[r][:-1]) | (mark[r][1:] != mark[r][:-1])])
                     ids, marks, index = doc[r][change], mark[r][change], np.cumsum(change) - 1
-                    rows.append((p, _RUNS, 0, 0, _pack(anchor[r], whole[r], ids, marks, np.diff(index, prepend=0).astype("<u4"), start[r].astype("<u4"), count[r].astype("<u4"))))
+                    rows.append((p, _RUNS, 0, 0, _pack(_narrow(anchor[r] // U64(n_parts), 5), _narrow(whole[r], 7), ids, marks, np.diff(index, prepend=0).astype("<u4"), start[r].astype("<u4"), count[r].astype("<u4"))))
             for k in range(0, len(rows), 4000):
                 yield _batch(rows[k : k + 4000])
 
@@ -239,7 +251,8 @@ def _covered(docs: DataFrame, length: int) -> DataFrame:
                 yield ready
             for p, blob in zip(*(batch.filter(pa.array(kinds == _RUNS))[k].to_pylist() for k in ("part", "blob"))):
                 part = p
-                anchor, whole, ids, marks, index, start, count = _unpack(blob, "<u8", "<u8", "<i8", "<i8", "<u4", "<u4", "<u4")
+                anchor, whole, ids, marks, index, start, count = _unpack(blob, "V5", "V7", "<i8", "<i8", "<u4", "<u4", "<u4")
+                anchor, whole = _wide(anchor), _wide(whole)
                 index = np.cumsum(index)
                 held.append([anchor, whole, ids[index], marks[index], start, count])
         if not held:
@@ -248,12 +261,13 @@ def _covered(docs: DataFrame, length: int) -> DataFrame:
         held.clear()
         covered, rest = _settle(anchor, whole, doc, mark, start, count, True)
         rows = _by_doc(_COVERED, lambda d: part, doc[covered], mark[covered], start[covered], count[covered])
-        group = ((anchor[rest] >> U64(17)) % U64(FINE)).astype(np.uint32) + np.uint32(part * FINE)
+        group = (mix(anchor[rest]) % U64(FINE)).astype(np.uint32) + np.uint32(part * FINE)
         rows += _by_doc(_ASKED, lambda d: part, doc[rest], mark[rest], start[rest], count[rest], group)
         for k in range(0, len(rows), 4000):
             yield _batch(rows[k : k + 4000])
 
-    met = cut(docs.mapInArrow(find, _ROWS_SQL).repartitionById(n_parts, "part").mapInArrow(meet, _ROWS_SQL))
+    plain = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "print", "text")
+    met = cut(plain.mapInArrow(find, _ROWS_SQL).repartitionById(n_parts, "part").mapInArrow(meet, _ROWS_SQL))
     asked = met.where(f"kind = {_ASKED}").groupBy("doc_id", "print").agg(F.collect_list("blob").alias("blobs"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,10 +354,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
     if length < 2 * ANCHOR:
         raise ValueError(f"strings of fewer than {2 * ANCHOR} bytes have no anchors")
     small_batches(docs.sparkSession)
-    plain = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("print"), "text")
-    covered = _covered(plain, length).groupBy("doc_id", "print").agg(F.collect_list("blob").alias("blobs"))
     own = ("doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     others = [c for c in docs.columns if c not in own]
+    extra = [F.struct(*[F.col(f"`{c}`") for c in others]).alias("extra")] if others else []
+    named = docs.select("doc_id", F.xxhash64("text").alias("print"), "text", *extra)
+    known, unknown = named.where("doc_id is not null"), named.where("doc_id is null")
+    covered = _covered(known, length).groupBy("doc_id", "print").agg(F.collect_list("blob").alias("blobs"))
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -361,8 +377,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
                 [batch["doc_id"], text, batch["extra"], *(pa.array([o[k] for o in out], pa.int64()) for k in range(3)), pa.array([o[3] for o in out], pa.string())], ["doc_id", "text", "extra", *own[2:]]
             )
 
-    extra = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("string")
-    joined = docs.select("doc_id", "text", extra.alias("extra")).withColumn("print", F.xxhash64("text")).join(covered, ["doc_id", "print"], "left").select("doc_id", "text", "extra", "blobs")
+    # both joins deal known out alike, so its texts are shuffled once
+    joined = known.join(covered, ["doc_id", "print"], "left").select(*named.columns, "blobs").union(unknown.select(*named.columns, F.lit(None).cast("array<binary>")))
+    joined = joined.select("doc_id", "text", "extra" if others else F.lit(None).cast("string").alias("extra"), "blobs")
     kinds = dict(joined.dtypes)
     out = joined.mapInArrow(drop, f"doc_id {kinds['doc_id']}, text string, extra {kinds['extra']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     place = {c: F.col("extra").getField(c).alias(c) for c in others}

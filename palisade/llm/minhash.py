@@ -11,15 +11,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from palisade.llm._text import U64, mix, shingle_sets
-from palisade.llm._work import cut, small_batches
+from palisade.llm._work import cut, partitions, small_batches
 from palisade.llm.components import connected_components
 
 #: Bands of minima; at a similarity of 0.8 a pair shares no band with probability (1 - 0.8**5)**32 < 4e-6.
 BANDS, ROWS = 32, 5
-#: Pairs whose signatures agree in a smaller share than the threshold less this are no candidates (over 4 deviations).
-MARGIN = 0.14
-#: Members of a bucket that are compared at once.
-BLOCK = 512
+#: Minima of a signature, of which the bands use the first; pairs whose signatures agree in a smaller share than the threshold
+#: less MARGIN are no candidates (4.9 standard deviations at a similarity of 0.8).
+MINIMA = 320
+MARGIN = 0.11
+#: Members of a bucket that are compared at once; documents of a group of those whose pairs are verified together.
+BLOCK, GROUP = 512, 256
 
 
 @lru_cache(maxsize=4)
@@ -28,7 +30,7 @@ def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
     return (r.integers(0, 1 << 32, n, dtype=np.uint32) | np.uint32(1))[:, None], r.integers(0, 1 << 32, n, dtype=np.uint32)[:, None]
 
 
-def signature(s: np.ndarray, n: int = BANDS * ROWS) -> np.ndarray:
+def signature(s: np.ndarray, n: int = MINIMA) -> np.ndarray:
     """Minima of n universal hash functions x -> a x + b mod 2**32 over a set of 64-bit hashes."""
     a, b = _functions(n)
     x = (s >> U64(32)).astype(np.uint32)
@@ -40,7 +42,7 @@ def signature(s: np.ndarray, n: int = BANDS * ROWS) -> np.ndarray:
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
     """(documents, BANDS) int64 keys; the band is part of its key."""
-    s = sig.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    s = sig[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64)
     k = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), s.shape[:2]).copy()
     for j in range(ROWS):
         k = mix(k * U64(0x9E3779B97F4A7C15) + s[:, :, j])
@@ -52,7 +54,7 @@ def _signed(docs: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             sets = shingle_sets(batch["text"], k)
             prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            sig = np.stack([signature(s) for s in sets]) if sets else np.zeros((0, BANDS * ROWS), np.uint32)
+            sig = np.stack([signature(s) for s in sets]) if sets else np.zeros((0, MINIMA), np.uint32)
             keys = band_keys(sig)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -72,83 +74,102 @@ def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b).mean(axis=-1) - 1 / 256) / (1 - 1 / 256)
 
 
-def _screen(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose signatures agree well enough; sigs: (id, sig)."""
-    least = percent / 100 - MARGIN
-    both = pairs.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b").join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
+_PAIRS = "pg long, a array<long>, b array<long>"
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                a = np.frombuffer(b"".join(batch["sig_a"].to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                b = np.frombuffer(b"".join(batch["sig_b"].to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(_alike(a, b) >= least))
 
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(work, "a long, b long")
+def _packed(a: np.ndarray, b: np.ndarray, groups: int) -> pa.RecordBatch:
+    """Pairs by pair group: documents fall into `groups` groups by a hash of their id, pairs into those of both."""
+    ga, gb = (mix(x.astype(np.uint64)) % U64(groups) for x in (a, b))
+    pg = (np.minimum(ga, gb) * U64(groups) + np.maximum(ga, gb)).astype(np.int64)
+    order = np.argsort(pg, kind="stable")
+    kinds, at = np.unique(pg[order], return_index=True)
+    bounds = pa.array(np.append(at, len(pg)), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(kinds), *(pa.ListArray.from_arrays(bounds, pa.array(x[order], pa.int64())) for x in (a, b))], ["pg", "a", "b"])
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) that are linked by their full sets; texts: (id, text)."""
-    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+def _screen(pairs: DataFrame, sigs: DataFrame, percent: int, groups: int) -> DataFrame:
+    """Packed pairs of (a, b) whose signatures agree well enough; sigs: (id, sig)."""
+    least = percent / 100 - MARGIN
+    both = pairs.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b").join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, kept = None, None
         for batch in batches:
-            ids = batch["a"].to_pylist()
-            sets_b = shingle_sets(batch["text_b"], k)
-            linked = []
-            for i, sb in enumerate(sets_b):
-                if ids[i] != last:
-                    last, kept = ids[i], shingle_sets(batch["text_a"].slice(i, 1), k)[0]
-                common = len(np.intersect1d(kept, sb, assume_unique=True))
-                linked.append(100 * common >= percent * (len(kept) + len(sb) - common) > 0)
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
+            if batch.num_rows:
+                x = np.frombuffer(b"".join(batch["sig_a"].to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                y = np.frombuffer(b"".join(batch["sig_b"].to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                ok = _alike(x, y) >= least
+                yield _packed(np.asarray(batch["a"])[ok], np.asarray(batch["b"])[ok], groups)
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long")
+    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(work, _PAIRS)
 
 
-def _across(rows: DataFrame, percent: int, best_only: bool) -> DataFrame:
-    """Candidate pairs (a, b) of different components within buckets.
+def _confirm(packed: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) that are linked by their full sets; texts: (id, text).
 
-    rows: key, id, n, comp, sig of the buckets that more than one component shares. A bucket is dealt into blocks of
-    about BLOCK members, and each pair of blocks is a group of its own, so its size is bounded however large the bucket.
-    best_only: from each member only its likeliest partner in each other component.
+    A pair group's documents are fetched once, however many of its pairs they are in.
+    """
+    packed = cut(packed.groupBy("pg").agg(F.flatten(F.collect_list("a")).alias("a"), F.flatten(F.collect_list("b")).alias("b")))
+    members = packed.select(F.col("pg").alias("group"), F.explode(F.array_distinct(F.concat("a", "b"))).alias("id")).join(texts, "id")
+
+    def work(pairs: pa.Table, docs: pa.Table) -> pa.Table:
+        sets: dict[int, list[np.ndarray]] = {}
+        for i, s in zip(docs["id"].to_pylist(), shingle_sets(docs["text"], k)):
+            sets.setdefault(i, []).append(s)
+        linked = set()
+        for a, b in {*zip(*(np.concatenate([np.asarray(x, np.int64) for x in pairs[c].to_pylist()] or [np.zeros(0, np.int64)]).tolist() for c in ("a", "b")))}:
+            for x in sets.get(a, ()):
+                for y in sets.get(b, ()):
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * common >= percent * (len(x) + len(y) - common) > 0:
+                        linked.add((a, b))
+        return pa.table({"a": pa.array([p[0] for p in linked], pa.int64()), "b": pa.array([p[1] for p in linked], pa.int64())})
+
+    return packed.groupBy("pg").cogroup(members.groupBy("group")).applyInArrow(work, "a long, b long").distinct()
+
+
+def _across(rows: DataFrame, percent: int, best_only: bool, groups: int) -> DataFrame:
+    """Packed candidate pairs of different components within buckets.
+
+    rows: key, id, n, comp, sig, keys of the buckets that more than one component shares. A bucket is dealt into blocks of
+    about BLOCK members, and each pair of blocks is a group of its own, so its size is bounded however large the bucket. A pair
+    is looked at in the first band that it shares only. best_only: from each member only its likeliest partner in each other component.
     """
     sizes = rows.groupBy("key").agg(F.count("*").alias("m"))
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     dealt = rows.join(sizes, "key").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "comp", "sig")
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "comp", "sig", "keys")
     least = percent / 100 - MARGIN
 
-    def work(pdf):
-        import pandas as pd
-
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        left = pdf[pdf["own"] == i]
-        right = pdf[pdf["own"] == j]
-        sl = np.frombuffer(b"".join(left["sig"]), np.uint8).reshape(len(left), -1) if len(left) else np.zeros((0, 1), np.uint8)
-        sr = np.frombuffer(b"".join(right["sig"]), np.uint8).reshape(len(right), -1) if len(right) else np.zeros((0, 1), np.uint8)
-        nl, nr = left["n"].to_numpy(), right["n"].to_numpy()
-        cl, cr = left["comp"].to_numpy(), right["comp"].to_numpy()
-        il, ir = left["id"].to_numpy(), right["id"].to_numpy()
-        out = []
-        for x in range(len(left)):
-            ok = (cr != cl[x]) & (100 * np.minimum(nr, nl[x]) >= percent * np.maximum(nr, nl[x]))
+    def work(table: pa.Table) -> pa.Table:
+        i, j, key = (table[c][0].as_py() for c in ("i", "j", "key"))
+        own, ids, n, comp = (np.asarray(table[c]) for c in ("own", "id", "n", "comp"))
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(len(ids), -1)
+        keys = np.asarray(table["keys"].combine_chunks().values).reshape(len(ids), -1)
+        before = keys[:, : int(np.flatnonzero(keys[0] == key)[0])]
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        a, b = [], []
+        for x in left:
+            ok = (comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))
             if i == j:
-                ok &= ir > il[x]
-            at = np.flatnonzero(ok)
+                ok &= ids[right] > ids[x]
+            at = right[ok]
+            if len(at) and before.shape[1]:
+                at = at[~(before[at] == before[x]).any(axis=1)]
             if not len(at):
                 continue
-            like = _alike(sr[at], sl[x])
+            like = _alike(sig[at], sig[x])
             at, like = at[like >= least], like[like >= least]
             if best_only and len(at) > 1:
-                order = np.lexsort((-like, cr[at]))
-                at = at[order][np.unique(cr[at][order], return_index=True)[1]]
-            out += [(min(il[x], ir[y]), max(il[x], ir[y])) for y in at]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                order = np.lexsort((-like, comp[at]))
+                at = at[order][np.unique(comp[at][order], return_index=True)[1]]
+            a += [int(ids[x])] * len(at)
+            b += ids[at].tolist()
+        x, y = np.array(a, np.int64), np.array(b, np.int64)
+        return pa.Table.from_batches([_packed(np.minimum(x, y), np.maximum(x, y), groups)])
 
-    return dealt.groupBy("key", "i", "j").applyInPandas(work, "a long, b long").distinct()
+    dealt = dealt.repartition(partitions(dealt.sparkSession), "key", "i", "j")
+    return dealt.groupBy("key", "i", "j").applyInArrow(work, _PAIRS)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -179,17 +200,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     shared = cut(bands.join(hubs, "key"))
     stars = shared.select(F.col("low").alias("a"), F.col("id").alias("b")).union(shared.select(F.col("id").alias("a"), F.col("high").alias("b"))).where("a != b").distinct()
     active = shared.select("id").distinct()
-    few = cut(sigs.join(active, "id").select("id", "n", "sig"))
+    few = cut(sigs.join(active, "id").select("id", "n", "sig", "keys"))
+    groups = max(1, few.count() // GROUP)
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
     texts = cut(texts.join(few.select("id"), "id").dropDuplicates(["id", "text"]))
-    links = cut(_confirm(_screen(stars, few, percent), texts, k, percent))
+    links = cut(_confirm(_screen(stars, few.select("id", "sig"), percent, groups), texts, k, percent))
     comps = cut(connected_components(links))
     for best_only in (True, False):
         placed = shared.select("key", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
         placed = cut(placed)
         mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("key")
-        rows = placed.join(mixed, "key").join(few, "id").select("key", "id", "n", "comp", "sig")
-        found = cut(_confirm(_across(rows, percent, best_only), texts, k, percent))
+        rows = placed.join(mixed, "key").join(few, "id").select("key", "id", "n", "comp", "sig", "keys")
+        found = cut(_confirm(_across(rows, percent, best_only, groups), texts, k, percent))
         if found.isEmpty():
             continue
         comps = cut(connected_components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found)))

@@ -36,18 +36,6 @@ class Compression:
     max_array_items: int = 0
 
 
-class _Number(float):
-    """A number that is written as it was read."""
-
-    def __new__(cls, raw: str):
-        self = super().__new__(cls, raw)
-        self.raw = raw
-        return self
-
-    def __repr__(self) -> str:
-        return self.raw
-
-
 def _constant(name: str):
     raise ValueError(name)
 
@@ -55,7 +43,7 @@ def _constant(name: str):
 def parse(raw: str):
     """The value of strict JSON, else ValueError: no NaN or Infinity, no lone surrogates, at most DEPTH levels."""
     try:
-        value = json.loads(raw, parse_constant=_constant, parse_float=_Number)
+        value = json.loads(raw, parse_constant=_constant)
     except RecursionError as e:
         raise ValueError("too deep") from e
     todo = [(value, 1)]

@@ -7,7 +7,7 @@ import os
 import numpy as np
 
 #: Words kept with their ids in each worker; beyond it the cache starts anew, results stay the same.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 #: Longer words are encoded each time.
 CACHE_LENGTH = 40
 _TAIL = ".,;:!?*$%&#()"
@@ -23,7 +23,7 @@ class WordEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
     The tokenizer's pre-tokenizer drops white space and none of its tokens spans it, so a text's ids are those of its
-    pieces between spaces and line ends in turn. Pieces are encoded by the library and remembered. A piece of ASCII
+    pieces between spaces and line ends in turn. Pieces are encoded by the library and remembered. A piece of Latin
     letters and closing marks is the letters' ids and the marks' ids, for the pre-tokenizer splits there. That holds
     only for tokenizers of this kind; for others pass by_word=False, and whole texts go to the library.
     """
@@ -39,14 +39,22 @@ class WordEncoder:
     def _raw(self, pieces: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def _words(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each of many words, which the library takes as one sequence of words."""
+        got = self.tok.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(got.ids, "<u4")
+        bounds = (4 * np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(pieces) + 1))).tolist()
+        raw = ids.tobytes()
+        return [raw[i:j] for i, j in zip(bounds, bounds[1:])]
+
     def _learn(self, missing: set[str]) -> None:
-        cache, parts = self.cache, {}
+        cache, parts = self.cache, []
         need: set[str] = set()
         for w in missing:
             stem = w.rstrip(_TAIL)
-            if stem and stem.isascii() and stem.isalpha():
+            if stem and stem.isalpha() and max(stem) <= "\u00ff":
                 low, tail = stem.lower(), w[len(stem) :]
-                parts[w] = (low, tail)
+                parts.append((w, low, tail))
                 need.add(low)
                 need.add(tail)
             else:
@@ -54,8 +62,8 @@ class WordEncoder:
         new = [w for w in need if w not in cache]
         for i in range(0, len(new), 5000):
             part = new[i : i + 5000]
-            cache.update(zip(part, self._raw(part)))
-        for w, (low, tail) in parts.items():
+            cache.update(zip(part, self._words(part)))
+        for w, low, tail in parts:
             cache[w] = cache[low] + cache[tail]
 
     def encode(self, text: str | None) -> bytes:

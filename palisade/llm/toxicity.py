@@ -23,6 +23,8 @@ TRAIN_ROWS = 16_000
 #: Texts of the training rows in which a term stands at least to be learned.
 MIN_TEXTS = 4
 FACTORS, EPOCHS, RATE, DECAY = 6, 14, 0.08, 1e-4
+#: Chi-squared of a term with the label from which it is learned; others would only let single texts be learned by heart.
+ASSOCIATED = 12.0
 
 
 def terms(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +69,13 @@ def fit(docs: list[np.ndarray], y: np.ndarray, seed: int = 5) -> FactorizationMa
     if not 0 < y.sum() < len(y):
         return none
     df = np.bincount(np.concatenate(docs), minlength=BUCKETS)
-    known = np.flatnonzero(df >= min(MIN_TEXTS, 1 + len(y) // 50))
+    hit = np.bincount(np.concatenate([d for d, t in zip(docs, y) if t]), minlength=BUCKETS)
+    rest, p = df - hit, df / len(y)
+    gap = hit / y.sum() - rest / (len(y) - y.sum())
+    tells = gap * gap >= ASSOCIATED * p * (1 - p) * (1 / y.sum() + 1 / (len(y) - y.sum()))
+    known = np.flatnonzero((df >= MIN_TEXTS) & tells & (p < 1))
+    if not len(known):
+        return none
     at = np.full(BUCKETS, -1, np.int32)
     at[known] = np.arange(len(known))
     rng = np.random.default_rng(seed)

@@ -56,7 +56,7 @@ def apply_rules(host: Column, path: Column, rules=RULES) -> tuple[Column, Column
     """(rule, verdict) of the longest rule that fits, else nulls."""
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for r in sorted(rules, key=lambda r: len(r.name)):
-        fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path if r.path != "/" else "")
+        fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
         name = F.when(fits, F.lit(r.name)).otherwise(name)
         verdict = F.when(fits, F.lit(r.verdict)).otherwise(verdict)
     return name, verdict

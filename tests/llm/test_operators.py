@@ -174,7 +174,8 @@ def test_packing_constraints(score):
 
 def test_language_model(spark, nothing):
     rng = random.Random(1)
-    texts = [" ".join(rng.choice(["the", "cat", "sat", "on", "a", "mat", f"w{rng.randint(0, 40)}"]) for _ in range(60)) for _ in range(120)] + ["", None, "zzz unknown"]
+    phrases = ["the cat sat on a mat", "a dog ran to the park", "the end of a day", "on to the cat"]
+    texts = [" ".join(rng.choice([*phrases, f"w{rng.randint(0, 40)}"]) for _ in range(15)) for _ in range(120)] + ["", None, "zzz unknown"]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r for r in hpylm.score_texts(d).collect()}
     train = [i for i in got if zlib.crc32(str(i).encode()) % 7 != 2]

@@ -21,7 +21,7 @@ BANDS, ROWS = 32, 5
 MINIMA = 320
 MARGIN = 0.11
 #: Members of a bucket that are compared at once; documents of a group of those whose pairs are verified together.
-BLOCK, GROUP = 512, 256
+BLOCK, GROUP = 512, 1024
 
 
 @lru_cache(maxsize=4)

@@ -127,49 +127,76 @@ def _confirm(packed: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return packed.groupBy("pg").cogroup(members.groupBy("group")).applyInArrow(work, "a long, b long").distinct()
 
 
-def _across(rows: DataFrame, percent: int, best_only: bool, groups: int) -> DataFrame:
+def _bucket_pairs(own: np.ndarray, i: int, j: int, ids, n, comp, sig, keys, key: int, percent: int, best_only: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs between the members of blocks i and j of a bucket; see _across."""
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    ok = comp[left][:, None] != comp[right][None]
+    low, high = np.minimum(n[left][:, None], n[right][None]), np.maximum(n[left][:, None], n[right][None])
+    ok &= 100 * low >= percent * high
+    if i == j:
+        ok &= ids[left][:, None] < ids[right][None]
+    for band in range(int(np.flatnonzero(keys[left[0]] == key)[0]) if len(left) else 0):
+        ok &= keys[left, band][:, None] != keys[right, band][None]
+    x, y = np.nonzero(ok)
+    x, y = left[x], right[y]
+    like = np.concatenate([np.zeros(0), *(_alike(sig[x[k : k + 8192]], sig[y[k : k + 8192]]) for k in range(0, len(x), 8192))])
+    good = like >= percent / 100 - MARGIN
+    x, y, like = x[good], y[good], like[good]
+    if best_only and len(x) > 1:
+        order = np.lexsort((-like, comp[y], x))
+        x, y = x[order], y[order]
+        first = np.ones(len(x), bool)
+        first[1:] = (x[1:] != x[:-1]) | (comp[y][1:] != comp[y][:-1])
+        x, y = x[first], y[first]
+    return ids[x], ids[y]
+
+
+def _across(placed: DataFrame, few: DataFrame, percent: int, best_only: bool, groups: int) -> DataFrame:
     """Packed candidate pairs of different components within buckets.
 
-    rows: key, id, n, comp, sig, keys of the buckets that more than one component shares. A bucket is dealt into blocks of
-    about BLOCK members, and each pair of blocks is a group of its own, so its size is bounded however large the bucket. A pair
+    placed: key, id, comp; few: id, n, sig, keys. Only buckets that more than one component shares are looked at. The members of
+    a bucket's largest component and all others are dealt into blocks of about BLOCK members each, and each pair of blocks is a
+    group of its own, but for those of two blocks of the largest component. So a group's size is bounded however large the bucket,
+    and a member of the largest component is sent once for each block of others, not for each block of the bucket. A pair
     is looked at in the first band that it shares only. best_only: from each member only its likeliest partner in each other component.
     """
-    sizes = rows.groupBy("key").agg(F.count("*").alias("m"))
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    dealt = rows.join(sizes, "key").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "comp", "sig", "keys")
-    least = percent / 100 - MARGIN
-
-    def work(table: pa.Table) -> pa.Table:
-        i, j, key = (table[c][0].as_py() for c in ("i", "j", "key"))
-        own, ids, n, comp = (np.asarray(table[c]) for c in ("own", "id", "n", "comp"))
+    n_parts = partitions(placed.sparkSession)
+    sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("m"), F.count("*").alias("c"))
+    sizes = sizes.where("c > 1").select("key", F.col("top.comp").alias("main"), F.ceil(F.col("top.m") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("m") - F.col("top.m")) / BLOCK).cast("int").alias("others"))
+    rows = placed.join(sizes, "key").join(few, "id")
+    top, deal = F.col("comp") == F.col("main"), F.xxhash64("id")
+    dealt = rows.withColumn("own", F.when(top, F.col("others") + F.pmod(deal, "mains")).otherwise(F.pmod(deal, "others")).cast("int"))
+    dealt = dealt.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("others") - 1 + F.when(top, 0).otherwise(F.col("mains")))))
+    dealt = dealt.select("key", F.least("own", "partner").alias("i"), F.greatest("own", "partner").alias("j"), "own", "id", "n", "comp", "sig", "keys")
+
+    def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        """All groups of a table that is sorted by group."""
+        key, i, j, own, ids, n, comp = (np.asarray(table[c]) for c in ("key", "i", "j", "own", "id", "n", "comp"))
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(len(ids), -1)
-        keys = np.asarray(table["keys"].combine_chunks().values).reshape(len(ids), -1)
-        before = keys[:, : int(np.flatnonzero(keys[0] == key)[0])]
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = [], []
-        for x in left:
-            ok = (comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))
-            if i == j:
-                ok &= ids[right] > ids[x]
-            at = right[ok]
-            if len(at) and before.shape[1]:
-                at = at[~(before[at] == before[x]).any(axis=1)]
-            if not len(at):
+        keys = np.asarray(table["keys"].combine_chunks().flatten()).reshape(len(ids), -1)
+        at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])).tolist() + [len(ids)]
+        found = [_bucket_pairs(own[p:q], int(i[p]), int(j[p]), ids[p:q], n[p:q], comp[p:q], sig[p:q], keys[p:q], key[p], percent, best_only) for p, q in zip(at, at[1:])]
+        x, y = (np.concatenate(z) for z in zip(*found))
+        yield _packed(np.minimum(x, y), np.maximum(x, y), groups)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            like = _alike(sig[at], sig[x])
-            at, like = at[like >= least], like[like >= least]
-            if best_only and len(at) > 1:
-                order = np.lexsort((-like, comp[at]))
-                at = at[order][np.unique(comp[at][order], return_index=True)[1]]
-            a += [int(ids[x])] * len(at)
-            b += ids[at].tolist()
-        x, y = np.array(a, np.int64), np.array(b, np.int64)
-        return pa.Table.from_batches([_packed(np.minimum(x, y), np.maximum(x, y), groups)])
+            held = pa.Table.from_batches([*(held.to_batches() if held else ()), batch])
+            last = held.slice(held.num_rows - 1)
+            same = np.logical_and.reduce([np.asarray(held[c]) == last[c][0].as_py() for c in ("key", "i", "j")])
+            whole = int(np.flatnonzero(same)[0])
+            if whole:
+                yield from compare(held.slice(0, whole))
+                held = held.slice(whole)
+        if held is not None:
+            yield from compare(held)
 
-    dealt = dealt.repartition(partitions(dealt.sparkSession), "key", "i", "j")
-    return dealt.groupBy("key", "i", "j").applyInArrow(work, _PAIRS)
+    # a fixed number of partitions: adaptive execution neither splits nor joins them, so a group stands in one
+    dealt = dealt.repartition(n_parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(work, _PAIRS)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -208,10 +235,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     comps = cut(connected_components(links))
     for best_only in (True, False):
         placed = shared.select("key", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-        placed = cut(placed)
-        mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("key")
-        rows = placed.join(mixed, "key").join(few, "id").select("key", "id", "n", "comp", "sig", "keys")
-        found = cut(_confirm(_across(rows, percent, best_only, groups), texts, k, percent))
+        found = cut(_confirm(_across(cut(placed), few, percent, best_only, groups), texts, k, percent))
         if found.isEmpty():
             continue
         comps = cut(connected_components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found)))

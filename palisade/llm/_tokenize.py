@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from functools import lru_cache
 
 import numpy as np
 
@@ -19,13 +20,20 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """This process' encoder, which a worker's tasks share."""
+    return WordEncoder(path)
+
+
 class WordEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
     The tokenizer's pre-tokenizer drops white space and none of its tokens spans it, so a text's ids are those of its
     pieces between spaces and line ends in turn. Pieces are encoded by the library and remembered. A piece of Latin
-    letters and closing marks is the letters' ids and the marks' ids, for the pre-tokenizer splits there. That holds
-    only for tokenizers of this kind; for others pass by_word=False, and whole texts go to the library.
+    letters and closing marks is the letters' ids and the marks' ids, for the pre-tokenizer splits there. Lower-case Latin
+    letters are what the normalizer leaves alone and the pre-tokenizer maps letter by letter, so they go to the library's
+    model at once. That holds only for tokenizers of this kind; for others pass by_word=False, and whole texts go to the library.
     """
 
     def __init__(self, path: str, by_word: bool = True):
@@ -35,6 +43,9 @@ class WordEncoder:
         self.tok = Tokenizer.from_file(path)
         self.by_word = by_word
         self.cache: dict[str, bytes] = {"": b""}
+        self.model = self.tok.model
+        letters = [c for c in map(chr, range(256)) if c.isalpha() and c == c.lower()] if by_word else []
+        self.mapped = {ord(c): "".join(part for part, _ in self.tok.pre_tokenizer.pre_tokenize_str(c)) for c in letters}
 
     def _raw(self, pieces: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
@@ -50,12 +61,13 @@ class WordEncoder:
     def _learn(self, missing: set[str]) -> None:
         cache, parts = self.cache, []
         need: set[str] = set()
+        letters: set[str] = set()
         for w in missing:
             stem = w.rstrip(_TAIL)
             if stem and stem.isalpha() and max(stem) <= "\u00ff":
                 low, tail = stem.lower(), w[len(stem) :]
                 parts.append((w, low, tail))
-                need.add(low)
+                letters.add(low)
                 need.add(tail)
             else:
                 need.add(w)
@@ -63,6 +75,8 @@ class WordEncoder:
         for i in range(0, len(new), 5000):
             part = new[i : i + 5000]
             cache.update(zip(part, self._words(part)))
+        for w in letters.difference(cache):
+            cache[w] = np.array([t.id for t in self.model.tokenize(w.translate(self.mapped))], "<u4").tobytes()
         for w, low, tail in parts:
             cache[w] = cache[low] + cache[tail]
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from palisade.llm._tokenize import WordEncoder
+from palisade.llm._tokenize import word_encoder
 from palisade.llm._work import cut, small_batches
 
 
@@ -195,7 +195,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, most: int = 4096, end_id: int
     tail = np.array([end_id], "<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = WordEncoder(tokenizer)
+        enc = word_encoder(tokenizer)
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):

@@ -24,7 +24,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from palisade.llm._tokenize import WordEncoder
+from palisade.llm._tokenize import word_encoder
 from palisade.llm._work import small_batches
 
 MAGIC = b"PLZD0001"
@@ -108,7 +108,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
-    encoder = WordEncoder(tokenizer)
+    encoder = word_encoder(tokenizer)
     sample = [encoder.encode(r.text) for r in docs.where(F.length("text").between(1, 20000)).limit(dictionary_docs).toLocalIterator()]
     dictionary = train_dictionary(sample)
     with fs.open_output_stream(f"{root}/dictionary.zdict") as f:
@@ -117,7 +117,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     shared = spark.sparkContext.broadcast(dictionary)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, pack = WordEncoder(tokenizer), _codec(shared.value, level)[0]
+        enc, pack = word_encoder(tokenizer), _codec(shared.value, level)[0]
         fs, root = pafs.FileSystem.from_uri(folder)
         task = TaskContext.get().partitionId()
         path = f"{root}/shard-{task:06d}-{uuid.uuid4().hex}.plz"

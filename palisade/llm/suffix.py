@@ -159,19 +159,40 @@ def _wide(a: np.ndarray) -> np.ndarray:
 
 _ROWS = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("print", pa.int64()), ("blob", pa.binary())])
 _ROWS_SQL = "part int, kind int, doc_id long, print long, blob binary"
-#: Kinds of rows: runs to be settled; strings that are covered, of one document; runs whose bytes are asked for, of one document.
+#: Kinds of rows: runs to be settled; strings that are covered, of a bucket of documents; runs whose bytes are asked for, of a bucket.
 _RUNS, _COVERED, _ASKED = 0, 1, 2
 
 
-def _by_doc(kind: int, part_of, doc: np.ndarray, mark: np.ndarray, *arrays: np.ndarray) -> list[tuple]:
-    """A row for each document (doc, mark) with its arrays' items."""
+def _by_bucket(kind: int, n_buckets: int, doc: np.ndarray, mark: np.ndarray, *arrays: np.ndarray) -> list[tuple]:
+    """A row for each bucket of documents (by doc_id) with the items of all its documents, packed."""
     if not len(doc):
         return []
-    order = np.lexsort((mark, doc))
-    doc, mark = doc[order], mark[order]
-    bounds = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])])).tolist() + [len(doc)]
-    arrays = [a[order] for a in arrays]
-    return [(part_of(int(doc[a])), kind, int(doc[a]), int(mark[a]), b"".join(x[a:b].astype("<u4").tobytes() for x in arrays)) for a, b in zip(bounds, bounds[1:])]
+    bucket = doc % n_buckets
+    order = np.lexsort((mark, doc, bucket))
+    bucket = bucket[order]
+    at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist() + [len(doc)]
+    columns = [doc[order].astype("<i8"), mark[order].astype("<i8"), *(x[order].astype("<u4") for x in arrays)]
+    return [(int(bucket[a]), kind, 0, 0, _pack(*(x[a:b] for x in columns))) for a, b in zip(at, at[1:])]
+
+
+def _by_doc(packed: DataFrame, n_buckets: int, n_arrays: int) -> DataFrame:
+    """(doc_id, print, blobs) of every document, with its items' arrays, from the rows of _by_bucket."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [_unpack(x, "<i8", "<i8", *["<u4"] * n_arrays) for batch in batches for x in batch["blob"].to_pylist()]
+        if not held:
+            return
+        doc, mark, *arrays = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        order = np.lexsort((mark, doc))
+        doc, mark = doc[order], mark[order]
+        arrays = [x[order] for x in arrays]
+        at = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])])).tolist() + [len(doc)]
+        for k in range(0, len(at) - 1, 1000):
+            rows = [(0, 0, int(doc[a]), int(mark[a]), b"".join(x[a:b].tobytes() for x in arrays)) for a, b in zip(at[k : k + 1000], at[k + 1 : k + 1001])]
+            yield _batch(rows)
+
+    return packed.repartitionById(n_buckets, "part").mapInArrow(work, _ROWS_SQL).select("doc_id", "print", F.array("blob").alias("blobs"))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -201,7 +222,7 @@ def _settle(anchor, whole, doc, mark, start, count, final: bool):
 
 
 def _covered(docs: DataFrame, length: int) -> DataFrame:
-    """(doc_id, print, blob) rows; a blob has starts and counts of strings of a document that an earlier one has too."""
+    """(doc_id, print, blobs) rows; the blobs have starts and counts of strings of a document that an earlier one has too."""
     spark = docs.sparkSession
     n_parts = partitions(spark)
 
@@ -214,7 +235,7 @@ def _covered(docs: DataFrame, length: int) -> DataFrame:
             doc, mark, start, count, anchor, whole = (np.concatenate(x) for x in zip(*held))
             held, size = [], 0
             covered, rest = _settle(anchor, whole, doc, mark, start, count, False)
-            rows = _by_doc(_COVERED, lambda d: d % n_parts, doc[covered], mark[covered], start[covered], count[covered])
+            rows = _by_bucket(_COVERED, n_parts, doc[covered], mark[covered], start[covered], count[covered])
             part = (anchor % U64(n_parts)).astype(np.int32)
             rest = np.sort(rest)
             rest = rest[np.argsort(part[rest], kind="stable")]
@@ -260,15 +281,15 @@ def _covered(docs: DataFrame, length: int) -> DataFrame:
         anchor, whole, doc, mark, start, count = (np.concatenate(x) for x in zip(*held))
         held.clear()
         covered, rest = _settle(anchor, whole, doc, mark, start, count, True)
-        rows = _by_doc(_COVERED, lambda d: part, doc[covered], mark[covered], start[covered], count[covered])
+        rows = _by_bucket(_COVERED, n_parts, doc[covered], mark[covered], start[covered], count[covered])
         group = (mix(anchor[rest]) % U64(FINE)).astype(np.uint32) + np.uint32(part * FINE)
-        rows += _by_doc(_ASKED, lambda d: part, doc[rest], mark[rest], start[rest], count[rest], group)
+        rows += _by_bucket(_ASKED, n_parts, doc[rest], mark[rest], start[rest], count[rest], group)
         for k in range(0, len(rows), 4000):
             yield _batch(rows[k : k + 4000])
 
     plain = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "print", "text")
     met = cut(plain.mapInArrow(find, _ROWS_SQL).repartitionById(n_parts, "part").mapInArrow(meet, _ROWS_SQL))
-    asked = met.where(f"kind = {_ASKED}").groupBy("doc_id", "print").agg(F.collect_list("blob").alias("blobs"))
+    asked = _by_doc(met.where(f"kind = {_ASKED}"), n_parts, 3)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = defaultdict(list)
@@ -320,12 +341,12 @@ def _covered(docs: DataFrame, length: int) -> DataFrame:
         e = hit.copy()
         e[:-1] &= ~hit[1:] | (run[1:] != run[:-1])
         f, e = np.flatnonzero(f), np.flatnonzero(e)
-        rows = _by_doc(_COVERED, lambda d: 0, d[f], mark[run[f]], start[run[f]] + inside[f], e - f + 1)
+        rows = _by_bucket(_COVERED, n_parts, d[f], mark[run[f]], start[run[f]] + inside[f], e - f + 1)
         return pa.Table.from_batches([_batch(rows)], _ROWS)
 
     fetched = asked.join(docs, ["doc_id", "print"]).select("doc_id", "print", "blobs", "text").mapInArrow(fetch, _ROWS_SQL)
     refined = fetched.groupBy("part").applyInArrow(compare, _ROWS_SQL)
-    return met.where(f"kind = {_COVERED}").union(refined).select("doc_id", "print", "blob")
+    return _by_doc(met.where(f"kind = {_COVERED}").union(refined), n_parts, 2)
 
 
 def spans(starts: np.ndarray, counts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -359,7 +380,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
     extra = [F.struct(*[F.col(f"`{c}`") for c in others]).alias("extra")] if others else []
     named = docs.select("doc_id", F.xxhash64("text").alias("print"), "text", *extra)
     known, unknown = named.where("doc_id is not null"), named.where("doc_id is null")
-    covered = _covered(known, length).groupBy("doc_id", "print").agg(F.collect_list("blob").alias("blobs"))
+    covered = _covered(known, length)
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -87,13 +87,32 @@ def _indexed(rows: DataFrame, pivots) -> DataFrame:
     return rows.mapInArrow(work, "id long, label long, raw binary, digest binary, near array<int>")
 
 
+def _spanning(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each of n nodes the smallest one reachable by the links x - y."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[x], root[y])
+        new = root.copy()
+        np.minimum.at(new, root[x], low)
+        np.minimum.at(new, root[y], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def _candidates(classes: DataFrame, least: float, shared: int) -> DataFrame:
-    """Linked pairs (a, b) of classes (id, label, raw, near) by inverted lists, shared-pivot counts and cosines."""
-    lists = classes.select("label", F.explode("near").alias("pivot"), "id", "raw", "near")
+    """(id, root, far) by inverted lists, shared-pivot counts and cosines, from classes (id, label, raw, near, copies).
+
+    Of each pair of blocks a row for each class with links in it: far, the rows behind the classes linked with it there, and
+    root, the smallest class that these links reach. So a group of near copies gives rows in proportion to its members,
+    not to its links.
+    """
+    lists = classes.select("label", F.explode("near").alias("pivot"), "id", "raw", "near", "copies")
     sizes = lists.groupBy("label", "pivot").agg(F.count("*").alias("m"))
     dealt = lists.join(sizes, ["label", "pivot"]).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("label", "pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "raw", "near")
+    dealt = dealt.select("label", "pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "raw", "near", "copies")
 
     def bits(near: list) -> np.ndarray:
         out = np.zeros((len(near), PIVOTS + 1), np.float32)
@@ -109,10 +128,10 @@ def _candidates(classes: DataFrame, least: float, shared: int) -> DataFrame:
         for own in (int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])):
             side = pdf[pdf["own"] == own]
             v = _unit(np.stack([np.frombuffer(x, np.float64) for x in side["raw"]])) if len(side) else np.zeros((0, 1))
-            sides.append((side["id"].to_numpy(), v, bits(list(side["near"])) if pivot >= 0 else None))
-        (a, va, na), (b, vb, nb) = sides
+            sides.append((side["id"].to_numpy(), v, bits(list(side["near"])) if pivot >= 0 else None, side["copies"].to_numpy()))
+        (a, va, na, ca), (b, vb, nb, cb) = sides
         if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+            return pd.DataFrame({"id": [], "root": [], "far": []}, dtype="int64")
         ok = a[:, None] < b[None, :] if pdf["i"].iloc[0] == pdf["j"].iloc[0] else np.ones((len(a), len(b)), bool)
         if pivot >= 0:
             need = min(shared, int(na.sum(axis=1).min()), int(nb.sum(axis=1).min()))
@@ -122,9 +141,14 @@ def _candidates(classes: DataFrame, least: float, shared: int) -> DataFrame:
         x, y = np.nonzero(ok)
         cos = np.concatenate([np.einsum("ij,ij->i", va[x[k : k + 65536]], vb[y[k : k + 65536]]) for k in range(0, len(x), 65536)] or [np.zeros(0)])
         x, y = x[cos >= least], y[cos >= least]
-        return pd.DataFrame({"a": np.minimum(a[x], b[y]), "b": np.maximum(a[x], b[y])}, dtype="int64")
+        ids = np.unique(np.concatenate([a[x], b[y]]))
+        u, v = np.searchsorted(ids, a[x]), np.searchsorted(ids, b[y])
+        far = np.zeros(len(ids), np.int64)
+        np.add.at(far, u, cb[y])
+        np.add.at(far, v, ca[x])
+        return pd.DataFrame({"id": ids, "root": ids[_spanning(len(ids), u, v)], "far": far}, dtype="int64")
 
-    return dealt.groupBy("label", "pivot", "i", "j").applyInPandas(work, "a long, b long")
+    return dealt.groupBy("label", "pivot", "i", "j").applyInPandas(work, "id long, root long, far long")
 
 
 def near_vectors(rows: DataFrame, least: float = 0.93, shared: int = SHARED) -> DataFrame:
@@ -148,10 +172,9 @@ def near_vectors(rows: DataFrame, least: float = 0.93, shared: int = SHARED) ->
     indexed = cut(_indexed(rows.where("vec_id is not null and label is not null"), pivots))
     classes = cut(indexed.groupBy("label", "digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("raw").alias("raw"), F.first("near").alias("near")))
     # Two classes could go by one id if a vec_id stands on different rows; links are kept by id, so they then count as one.
-    pairs = cut(_candidates(classes, least, shared))
-    both = pairs.union(pairs.select("b", "a")).toDF("id", "other")
-    links = both.join(classes.select(F.col("id").alias("other"), "copies"), "other").groupBy("id").agg(F.sum("copies").alias("far"))
-    comps = connected_components(pairs).withColumnRenamed("node", "id")
+    found = cut(_candidates(classes, least, shared))
+    links = found.groupBy("id").agg(F.sum("far").alias("far"))
+    comps = connected_components(found.where("id != root").select(F.col("root").alias("a"), F.col("id").alias("b")).distinct()).withColumnRenamed("node", "id")
     known = classes.select("label", "digest", "id", "copies").join(links, "id", "left").join(comps, "id", "left")
     known = known.select("label", "digest", (F.coalesce("far", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     members = indexed.select("id", "label", "digest").join(known, ["label", "digest"]).select(F.col("id").alias("vec_id"), "n_links", "component_id").dropDuplicates(["vec_id"])

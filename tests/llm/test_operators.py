@@ -200,6 +200,17 @@ def test_language_model(spark, nothing):
     assert hpylm.score_texts(nothing).count() == 0
 
 
+def test_language_model_keeps_contexts_apart(spark):
+    # followers that the last word alone does not tell, but the last two do; and many last words that end alike
+    n = 1500
+    texts = [f"p{i}k mid q{i}" for i in range(n)] * 3
+    probes = [f"p{i}k mid q{j}" for i in range(0, n, 50) for j in (i, (i + 7) % n)]
+    rows_ = [(i, t, True) for i, t in enumerate(texts)] + [(100000 + i, t, False) for i, t in enumerate(probes)]
+    d = spark.createDataFrame(rows_, "doc_id long, text string, train boolean")
+    got = {r.doc_id: r.score for r in hpylm.score_texts(d, F.col("train")).where("doc_id >= 100000").collect()}
+    assert min(got[100000 + i] - got[100001 + i] for i in range(0, len(probes), 2)) > 1
+
+
 def test_stirling():
     s = np.exp(hpylm.log_stirling(0.5, 4))
     assert np.allclose(s[3, 1:4], [0.75, 1.5, 1.0])  # (1-d)(2-d), 3(1-d), 1

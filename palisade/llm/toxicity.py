@@ -23,8 +23,11 @@ TRAIN_ROWS = 16_000
 #: Texts of the training rows in which a term stands at least to be learned.
 MIN_TEXTS = 4
 FACTORS, EPOCHS, RATE, DECAY = 6, 14, 0.08, 1e-4
-#: Chi-squared of a term with the label from which it is learned; others would only let single texts be learned by heart.
-ASSOCIATED = 12.0
+#: Chi-squared with the label from which a term is learned, and from which both terms of a pair are: that of the pair's texts
+#: against the rest of either term's. Others would only let single texts be learned by heart (all terms: recall 0.55 instead of 0.91 at sf0.1).
+ASSOCIATED, PAIRED = 12.0, 30.0
+#: Terms and rows of a block of pair counts.
+BLOCK = 256
 
 
 def terms(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -62,6 +65,43 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
+def _chi2(k1: np.ndarray, n1: np.ndarray, k2: np.ndarray, n2: np.ndarray) -> np.ndarray:
+    """Chi-squared of two shares k/n; 0 where there is nothing to compare."""
+    p = (k1 + k2) / np.maximum(n1 + n2, 1)
+    gap = k1 / np.maximum(n1, 1) - k2 / np.maximum(n2, 1)
+    var = p * (1 - p) * (1 / np.maximum(n1, 1) + 1 / np.maximum(n2, 1))
+    return np.where((n1 > 0) & (n2 > 0) & (var > 0), gap * gap / np.where(var > 0, var, 1), 0)
+
+
+def paired(docs: list[np.ndarray], y: np.ndarray, df: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """Terms of all pairs whose texts differ in the label from the other texts of either term.
+
+    All pairs that can reach PAIRED are counted, block by block: a fourfold table's chi-squared is at most its number of texts.
+    """
+    able = np.flatnonzero((df >= PAIRED) & (df < len(y)))
+    at = np.full(BUCKETS, -1, np.int32)
+    at[able] = np.arange(len(able))
+    idx = [i[i >= 0] for i in (at[d] for d in docs)]
+    n, k, out = df[able], hit[able], np.zeros(len(able), bool)
+    for a in range(0, len(able), BLOCK):
+        b = min(a + BLOCK, len(able))
+        both, toxic = np.zeros((2, b - a, len(able) - a), np.float32)
+        for r in range(0, len(idx), BLOCK):
+            rows = [i[np.searchsorted(i, a) :] - a for i in idx[r : r + BLOCK]]
+            x = np.zeros((len(rows), len(able) - a), np.float32)
+            x[np.repeat(np.arange(len(rows)), [len(i) for i in rows]), np.concatenate(rows)] = 1
+            both += x[:, : b - a].T @ x
+            mark = y[r : r + BLOCK] == 1
+            toxic += x[mark, : b - a].T @ x[mark]
+        ni, ki = n[a:b, None].astype(np.float32), k[a:b, None].astype(np.float32)
+        gap = ni * toxic - ki * both  # a fourfold table's chi-squared against the rest of the row's term, without divisions
+        i, j = np.nonzero((both >= MIN_TEXTS) & (gap * gap * ni >= np.float32(0.99 * PAIRED) * ki * (ni - ki) * both * (ni - both)))
+        m, t, i, j = both[i, j].astype(float), toxic[i, j].astype(float), i + a, j + a
+        tell = (_chi2(t, m, k[i] - t, n[i] - m) >= PAIRED) & (_chi2(t, m, k[j] - t, n[j] - m) >= PAIRED)
+        out[i[tell]] = out[j[tell]] = True
+    return able[out]
+
+
 def fit(docs: list[np.ndarray], y: np.ndarray, seed: int = 5) -> FactorizationMachine:
     """AdaGrad on the logistic loss. Without rows of both labels the machine is its smoothed base rate."""
     rate = (y.sum() + 0.5) / (len(y) + 1)
@@ -73,6 +113,7 @@ def fit(docs: list[np.ndarray], y: np.ndarray, seed: int = 5) -> FactorizationMa
     rest, p = df - hit, df / len(y)
     gap = hit / y.sum() - rest / (len(y) - y.sum())
     tells = gap * gap >= ASSOCIATED * p * (1 - p) * (1 / y.sum() + 1 / (len(y) - y.sum()))
+    tells[paired(docs, y, df, hit)] = True
     known = np.flatnonzero((df >= MIN_TEXTS) & tells & (p < 1))
     if not len(known):
         return none

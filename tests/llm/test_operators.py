@@ -250,6 +250,26 @@ def test_toxicity(spark, nothing):
     assert toxicity.score_toxicity(nothing, toxicity.train(nothing, d.limit(0))).count() == 0
 
 
+def test_toxicity_of_pairs():
+    # the group word is as frequent in clean texts as in toxic ones, and toxic only beside the insult, which is harmless alone
+    rng, docs, y, kind = np.random.default_rng(6), [], [], []
+    for _ in range(6000):
+        insult, slur, group = (rng.random(3) < (0.12, 0.06, 0.5)).tolist()
+        group = group and not slur
+        toxic = slur or (insult and group)
+        insult = insult and not slur
+        docs.append(np.unique(np.concatenate([rng.integers(1000, 1400, 20), np.flatnonzero([insult, slur, group])])).astype(np.int32))
+        y.append(int(toxic))
+        kind.append((insult, slur, group))
+    y = np.array(y)
+    clean, toxic = (np.mean([k[2] for k, t in zip(kind, y) if t == v]) for v in (0, 1))
+    m = toxicity.fit(docs[:4000], y[:4000])
+    score = m.score(np.concatenate(docs[4000:]).astype(np.int64), np.array([len(d) for d in docs[4000:]]), m.lookup())
+    of = {k: score[[i for i, x in enumerate(kind[4000:]) if x == k]] for k in ((True, False, True), (True, False, False))}
+    assert abs(clean - toxic) < 0.08
+    assert (of[True, False, True] >= 0.3).mean() > 0.9 and (of[True, False, False] >= 0.3).mean() < 0.1
+
+
 def test_language(spark, nothing):
     en, de = "the cat and the dog were with them", "der hund und die katze sind nicht hier"
     train = spark.createDataFrame([(i, (en, de)[i % 2] + f" {i}", ("en", "de")[i % 2]) for i in range(60)], "doc_id long, text string, lang string")

@@ -9,6 +9,7 @@ share of blocked pages, smoothed towards the same template over all hosts, that
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -34,8 +35,6 @@ STRENGTH, REJECT = 8.0, 0.5
 CHILDREN, FEW = 12, 3.0
 #: Squared z below which two shares count as alike.
 ALIKE = 3.84
-#: Segments of a template; what follows is one tail mark (all pages stay).
-DEPTH = 4
 
 
 def url_host(url: Column) -> Column:
@@ -81,7 +80,7 @@ def _alike(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
     return (n1 == 0) | (n2 == 0) | (d * d <= ALIKE * var)
 
 
-def judge_urls(pages: DataFrame, rules=RULES, depth: int = DEPTH) -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, purity) of every row.
 
     pages: page_id, url (further columns are ignored). A null url or one without :// has an empty host and path; it then has the
@@ -94,8 +93,7 @@ def judge_urls(pages: DataFrame, rules=RULES, depth: int = DEPTH) -> DataFrame:
     rule, verdict = apply_rules(F.col("host"), F.col("path"), rules)
     p = p.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("by_rule"))
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
-    typed = F.transform(parts, _typed)
-    shown = F.when(F.size(typed) > depth, F.concat(F.slice(typed, 1, depth), F.array(F.lit("{tail}")))).otherwise(typed)
+    shown = F.transform(parts, _typed)
     # one row per host and typed path, with its counts: everything below works on these
     one = p.select("page_id", "host", "path", "rule", "by_rule", shown.alias("segments"))
     key = F.array_join("segments", "/")
@@ -104,7 +102,17 @@ def judge_urls(pages: DataFrame, rules=RULES, depth: int = DEPTH) -> DataFrame:
     )
     shapes = cut(shapes.withColumn("template", F.lit("")))
     # level by level: literal children of a branch point (host, template so far) are generalised or kept
-    for level in range(depth + 1):
+    done, level = [], 0
+    while True:
+        # a branch point that can be generalised has three shapes at least; the rest of other paths is literal
+        crowd = shapes.groupBy("host", "template").agg(F.count("*").alias("crowd"))
+        split = cut(shapes.join(crowd, ["host", "template"]).withColumn("open", (F.col("crowd") > 2) & (F.col("shape") != "") & (F.size(F.split("shape", "/")) > level)).drop("crowd"))
+        parts = F.split("shape", "/")
+        rest = F.when((F.col("shape") != "") & (F.size(parts) > level), F.concat(F.lit("/"), F.array_join(F.slice(parts, level + 1, F.greatest(F.size(parts) - level, F.lit(1))), "/"))).otherwise("")
+        done.append(split.where("not open").withColumn("template", F.concat("template", rest)).drop("open"))
+        shapes = split.where("open").drop("open")
+        if shapes.isEmpty():
+            break
         here = shapes.withColumn("seg", F.coalesce(F.when(F.col("shape") != "", F.get(F.split("shape", "/"), F.lit(level))), F.lit("")))
         kids = here.where("seg != ''").groupBy("host", "template", "seg").agg(F.sum("n").alias("kn"), F.sum("labelled").alias("kl"), F.sum("blocked").alias("kb"))
         points = kids.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("kn").alias("pn"), F.sum("kl").alias("pl"), F.sum("kb").alias("pb"))
@@ -115,6 +123,8 @@ def judge_urls(pages: DataFrame, rules=RULES, depth: int = DEPTH) -> DataFrame:
         names = judged.select("host", "template", "seg", F.when(wild | merged, F.lit("*")).otherwise(F.col("seg")).alias("name"))
         here = here.join(names, ["host", "template", "seg"], "left")
         shapes = cut(here.select("host", "shape", "n", "labelled", "blocked", F.concat("template", F.coalesce(F.concat(F.lit("/"), F.col("name")), F.lit(""))).alias("template")))
+        level += 1
+    shapes = cut(reduce(DataFrame.unionByName, done))
     first = F.concat(F.lit("/"), F.get(F.split("template", "/"), F.lit(1)))
     shapes = shapes.withColumn("top", F.coalesce(first, F.lit("")))
     own = shapes.groupBy("host", "template", "top").agg(F.sum("labelled").alias("l0"), F.sum("blocked").alias("b0"))

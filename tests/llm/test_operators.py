@@ -294,3 +294,10 @@ def test_urls(spark):
     assert (got[6].host, got[6].path, got[10].host, got[10].path, got[3].path) == ("", "", "q.com", "", "/de/3")
     assert got[500].verdict == "block" and got[501].verdict == "allow" and got[500].template == "/de/{number}"
     assert urltree.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_urls_deep_paths(spark):
+    rules = (urltree.Rule("block", "example.com", "/a/b/c/d/spam/"), urltree.Rule("allow", "example.com", "/a/b/c/d/news/"))
+    data = [(100 * k + i, f"http://{host}/a/b/c/d/{kind}/e{i % 5}/f/g/{i}") for k, (host, kind) in enumerate((h, s) for h in ("example.com", "z.io") for s in ("spam", "news")) for i in range(60)]
+    got = urltree.judge_urls(spark.createDataFrame(data, "page_id long, url string"), rules).where("host = 'z.io'").collect()
+    assert len(got) == 120 and all(r.verdict == ("block" if "/spam/" in r.path else "allow") for r in got)

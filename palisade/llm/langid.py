@@ -41,10 +41,11 @@ class GramModel:
     languages: list[str]
     table: np.ndarray
 
-    def log_likelihood(self, arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(texts, languages) sums, and the number of bytes of words in each text."""
+    def log_likelihood(self, arr: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(texts, languages) sums, and the numbers of bytes of words and of 4-grams in each text."""
         b, offsets = view(arr)
         out, size = np.zeros((len(offsets) - 1, len(self.languages))), np.zeros(len(offsets) - 1, np.int64)
+        grams = np.zeros(len(offsets) - 1, np.int64)
         for p, end in _cuts(b, offsets, SPACE):
             c = b[p:end]
             first = int(np.searchsorted(offsets, p, "right")) - 1
@@ -55,9 +56,10 @@ class GramModel:
                 continue
             g, inside = _grams(c), rows[3:] == rows[:-3]
             g, r = g[inside], rows[:-3][inside]
+            grams[first : first + n] += np.bincount(r, minlength=n)
             for k, t in enumerate(self.table):
                 out[first : first + n, k] += np.bincount(r, t[g], n)
-        return out, size
+        return out, size, grams
 
 
 def train(texts: DataFrame, rows: int = TRAIN_ROWS) -> GramModel:
@@ -100,7 +102,7 @@ def identify(rows: DataFrame, model: GramModel, least: float = LEAST) -> DataFra
 
     rows: id, text, host, declared, suffix (strings; any of them may be null: it then says nothing; further columns are ignored).
     Declarations outside the model's languages count as one other value. A row is rejected, with language null, if its text
-    has no letters or digits, or if no language reaches the posterior `least`. A host's prior leaves out the row's own part.
+    has no letters or digits, if 4-grams drawn evenly explain it better than any language does, or if no language reaches the posterior `least`. A host's prior leaves out the row's own part.
     Ties go to the language that sorts first. Repeated rows are answered and counted each.
 
     Group sums are partial aggregates, so a hot host is one row per task; its join is left to adaptive execution.
@@ -115,15 +117,16 @@ def identify(rows: DataFrame, model: GramModel, least: float = LEAST) -> DataFra
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            ll, letters = m.log_likelihood(batch["text"])
+            ll, letters, grams = m.log_likelihood(batch["text"])
+            none = (ll.max(axis=1) < -grams * np.log(GRAM_BUCKETS)) if len(ll) else np.zeros(0, bool)
             ll = TEMPER * (ll - ll.max(axis=1, keepdims=True)) if len(ll) else ll
             p = np.exp(ll)
             p /= p.sum(axis=1, keepdims=True) if len(p) else 1
             flat = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, size), pa.int32()), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["host"], batch["declared"], batch["suffix"], flat(ll), flat(p), pa.array(letters)], ["id", "host", "declared", "suffix", "ll", "p", "letters"])
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["host"], batch["declared"], batch["suffix"], flat(ll), flat(p), pa.array(letters), pa.array(none)], ["id", "host", "declared", "suffix", "ll", "p", "letters", "none"])
 
-    scored = cut(plain.mapInArrow(work, f"id {kind}, host string, declared string, suffix string, ll array<double>, p array<double>, letters long"))
-    scored = scored.withColumn("p", F.when(F.col("letters") > 0, F.col("p")).otherwise(F.array(*[F.lit(0.0)] * size)))
+    scored = cut(plain.mapInArrow(work, f"id {kind}, host string, declared string, suffix string, ll array<double>, p array<double>, letters long, none boolean"))
+    scored = scored.withColumn("p", F.when((F.col("letters") > 0) & ~F.col("none"), F.col("p")).otherwise(F.array(*[F.lit(0.0)] * size)))
     scored = scored.withColumn("domain", F.regexp_extract("host", r"([^.]+\.)?[^.]+$", 0))
     sums = [F.sum(F.col("p")[k]).alias(f"s{k}") for k in range(size)]
     arr = lambda name: F.array(*[F.col(f"s{k}") for k in range(size)]).alias(name)
@@ -162,11 +165,11 @@ def identify(rows: DataFrame, model: GramModel, least: float = LEAST) -> DataFra
     total = F.aggregate("logs", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top")))
     step = step.withColumn("posterior", F.round(1 / total, 6)).withColumn("at", F.array_position("logs", F.col("top")))
     names = F.array(*[F.lit(x) for x in langs])
-    step = step.withColumn("rejected", (F.col("letters") == 0) | F.coalesce(F.col("posterior") < least, F.lit(True)))
+    step = step.withColumn("rejected", (F.col("letters") == 0) | F.col("none") | F.coalesce(F.col("posterior") < least, F.lit(True)))
     return step.select(
         "id",
         F.when(~F.col("rejected"), F.element_at(names, F.col("at").cast("int"))).alias("language"),
         "posterior",
-        F.when(F.col("letters") > 0, F.element_at(names, F.array_position("p", F.array_max("p")).cast("int"))).alias("text_language"),
+        F.when((F.col("letters") > 0) & ~F.col("none"), F.element_at(names, F.array_position("p", F.array_max("p")).cast("int"))).alias("text_language"),
         "rejected",
     )

@@ -301,3 +301,14 @@ def test_urls_deep_paths(spark):
     data = [(100 * k + i, f"http://{host}/a/b/c/d/{kind}/e{i % 5}/f/g/{i}") for k, (host, kind) in enumerate((h, s) for h in ("example.com", "z.io") for s in ("spam", "news")) for i in range(60)]
     got = urltree.judge_urls(spark.createDataFrame(data, "page_id long, url string"), rules).where("host = 'z.io'").collect()
     assert len(got) == 120 and all(r.verdict == ("block" if "/spam/" in r.path else "allow") for r in got)
+
+
+def test_language_of_none(spark):
+    en, de = "the cat and the dog were with them in the house", "der hund und die katze sind nicht hier im haus"
+    train = spark.createDataFrame([(i, (en, de)[i % 2], ("en", "de")[i % 2]) for i in range(400)], "doc_id long, text string, lang string")
+    rng = random.Random(8)
+    none = ["Собака и кошка живут в старом доме у реки", "Pies i kot mieszkają w starym domu nad rzeką"] + ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (60, 300, 1000)]
+    texts = none + ["the cat and the dog", "der hund und die katze", "in the house", "nicht hier"]
+    d = spark.createDataFrame([(i, t, "a.com", None, None) for i, t in enumerate(texts)], "id long, text string, host string, declared string, suffix string")
+    got = {r.id: (r.language, r.rejected) for r in langid.identify(d, langid.train(train)).collect()}
+    assert [got[i] for i in range(len(texts))] == [(None, True)] * len(none) + [("en", False), ("de", False)] * 2

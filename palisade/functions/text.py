@@ -9,11 +9,14 @@ INVISIBLE = (
     r"[\x{AD}\x{600}-\x{605}\x{61C}\x{6DD}\x{70F}\x{890}-\x{891}\x{8E2}\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{206F}"
     r"\x{FEFF}\x{FFF9}-\x{FFFB}\x{110BD}\x{110CD}\x{13430}-\x{1343F}\x{1BCA0}-\x{1BCA3}\x{1D173}-\x{1D17A}]"
 )
+#: A quick look that all invisible characters pass and most others do not.
+_MAY_BE = r"(?=[\x{AD}\x{600}-\x{2FFF}\x{E000}-\x{10FFFF}])"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def strip_invisible(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), INVISIBLE, "")
+    plain = F.octet_length(text) == F.length(text)  # ASCII only
+    return F.when(text.isNull(), "").when(plain, text).otherwise(F.regexp_replace(text, _MAY_BE + INVISIBLE, ""))
 
 
 def ascii_lower(text: Column) -> Column:

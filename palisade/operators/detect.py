@@ -5,13 +5,14 @@ Matches stay in an array next to their text: detection, allow-lists, score and v
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from palisade.functions.catalogue import DIVERSITY, PATTERNS, WEIGHTS, threshold
-from palisade.functions.text import ascii_lower, sha_prefix, strip_invisible, url_host
+from palisade.functions.text import sha_prefix, strip_invisible, url_host
 
 MATCH = "struct<pattern_id:string,category:string,severity:string,text:string,offset:bigint>"
 
@@ -28,75 +29,100 @@ class Allow:
         return [h for h in (h.strip().lstrip(".").translate(lower) for h in self.hosts) if h]
 
 
-def _quoted(literal: str) -> str:
-    return r"\Q" + literal + r"\E"
+# Per expression: lower-case fragments of which each text that it fits holds one. Expressions without any fit only rare characters.
+NEEDS: dict[str, tuple[str, ...]] = {
+    "io-007": ("ignore",), "pm-006": ("inst]",), "ac-006": ("developer", "creator", "admin", "owner"), "ei-003": ("send",), "ei-004": ("//",), "ei-005": ("](http",), "om-003": ("never",),
+    "om-004": ("respond",), "tm-004": ("tool", "function", "mcp"), "tm-005": ("mcp_",), "di-002": ("---",), "di-003": ('"role"',), "enc-001": ("atob",), "enc-002": ("base64",), "enc-003": ("fromcharcode",),
+    "hi-001": ("onload", "onerror", "onclick", "onfocus", "onmouseover", "onsubmit", "ontoggle", "onanimationend"), "hi-002": ("data:text",), "hi-003": ("data:app",), "hi-004": ("expression",),
+    "hi-005": ("<!--",), "svg-001": ("<svg",), "svg-002": ("<foreign",),
+}
+#: What to step over where an expression fails, since it would fail from any later start in there too; keeps matching linear.
+SKIPS = {"svg-001": r"(?i:<svg)[^>]*+", "di-002": r"-++", "ei-005": r"!\[(?:track|pixel|1x1|beacon|exfil)[0-9A-Za-z_]*\]\(https?://[^\)]++"}
+#: Characters without one of which no expression outside NEEDS fits.
+RARE = r"[\x{200B}-\x{200D}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{E000}-\x{F8FF}\x{FEFF}\x{E0001}-\x{E007F}]"
 
 
-def _prefix_sums(pieces: Column) -> Column:
-    """Byte length of all pieces before each but the first."""
-    sizes = F.transform(pieces, lambda p: F.octet_length(p).cast("long"))
-    return F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0).cast("long"), lambda a, b: a + b))
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
-def _literal_matches(text: Column, literal: str) -> Column:
-    """(text, offset) of all occurrences, overlapping ones too, in any case of A-Z."""
-    ahead = rf"(?i)(?=({_quoted(literal)}))"
-    found = F.regexp_extract_all(text, F.lit(ahead), F.lit(1))
-    # splitting before each occurrence; one at the very start leaves no empty piece
-    cuts = F.when(F.size(found) > 0, _prefix_starts(text, ahead, literal)).otherwise(F.array().cast("array<bigint>"))
-    return F.arrays_zip(found.alias("text"), cuts.alias("offset"))
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once for each row, however often it is used; a projection would be copied into each use."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c != name]
+    return df.select(*rest, F.explode(F.array(value)).alias(name))
 
 
-def _prefix_starts(text: Column, ahead: str, literal: str) -> Column:
-    pieces = F.split(text, ahead, -1)
-    at_start = text.rlike(rf"(?i)\A{_quoted(literal)}")
-    inner = F.when(F.size(pieces) > 1, _prefix_sums(pieces)).otherwise(F.array().cast("array<bigint>"))
-    return F.when(at_start, F.concat(F.array(F.lit(0).cast("long")), inner)).otherwise(inner)
+@functools.cache
+def _detectors_sql(patterns: tuple) -> str:
+    """The catalogue as an array literal, which the optimizer folds into one constant."""
+    quote = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    rows = []
+    for pattern_id, category, severity, kind, value in patterns:
+        literal, skip = kind == "literal", SKIPS.get(pattern_id)
+        regex = rf"(?i)(?=(\Q{value}\E))" if literal else f"({value})|{skip}" if skip else value
+        needs = (value,) if literal else NEEDS.get(pattern_id, ())
+        fields = {"pattern_id": quote(pattern_id), "category": quote(category), "severity": quote(severity), "literal": str(literal).lower(), "regex": quote(regex), "grp": str(int(literal or bool(skip)))}
+        fields["needs"] = f"cast(array({', '.join(map(quote, needs))}) as array<string>)"
+        rows.append("named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")")
+    return f"array({', '.join(rows)})"
 
 
-def _regex_matches(text: Column, regex: str) -> Column:
-    found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    gaps = F.split(text, regex, -1)
-    size = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + F.octet_length(x))
-    starts = F.transform(F.sequence(F.lit(1), F.size(found)), lambda i: size(F.slice(gaps, F.lit(1), i)) + size(F.slice(found, F.lit(1), i - 1)))
-    cuts = F.when(F.size(found) > 0, starts).otherwise(F.array().cast("array<bigint>"))
-    return F.arrays_zip(found.alias("text"), cuts.alias("offset"))
+def prefix_sums(steps: Column) -> Column:
+    """Sums of all items up to each, by blocks of the root of their number: no item is added more than twice that often."""
+    long = lambda c: c.cast("long")
+    total = lambda a: F.aggregate(a, long(F.lit(0)), lambda s, x: s + x)
 
+    def by_blocks(s: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(s))).cast("int")
 
-def _labelled(pattern_id: str, category: str, severity: str, text_of, offset_of):
-    """A function of one found item that makes it a match."""
+        def summed(w: Column) -> Column:
+            starts = F.sequence(F.lit(0), F.floor((F.size(s) - 1) / w).cast("int"))
+            blocks = F.transform(starts, lambda b: total(F.slice(s, b * w + 1, w)))
+            before = let(blocks, lambda sums: F.transform(sums, lambda _, b: total(F.slice(sums, F.lit(1), b))))
+            return let(before, lambda base: F.transform(s, lambda _, i: F.get(base, F.floor(i / w).cast("int")) + total(F.slice(s, (i - i % w) + 1, i % w + 1))))
 
-    def one(m: Column) -> Column:
-        names = (F.lit(pattern_id).alias("pattern_id"), F.lit(category).alias("category"), F.lit(severity).alias("severity"))
-        return F.struct(*names, text_of(m).alias("text"), offset_of(m).alias("offset"))
+        return F.when(F.size(s) > 0, let(width, summed)).otherwise(F.array().cast("array<bigint>"))
 
-    return one
+    return let(steps, by_blocks)
 
 
-def once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """df with a column that is computed once for each row, however often it is used; a projection would be copied into each use."""
-    rest = [F.col(f"`{c}`") for c in df.columns if c != name]
-    return df.select(*rest, F.explode(F.array(value)).alias(name))
+def _offsets(text: Column, p: Column, found: Column) -> Column:
+    """Byte offset of each found item, those stepped over included."""
+    size = lambda x: F.octet_length(x).cast("long")
 
+    def of_literal(pieces: Column) -> Column:  # cut before each occurrence; one at the very start leaves no empty piece
+        at_start = F.when(F.size(pieces) == F.size(found), F.array(F.lit(0).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+        return F.concat(at_start, F.slice(F.transform(pieces, size), F.lit(1), F.size(pieces) - 1))
 
-def match_array(text: Column, lower: Column, offsets: bool = True, patterns=PATTERNS) -> Column:
+    def of_regex(gaps: Column) -> Column:
+        whole = F.regexp_extract_all(text, p["regex"], F.lit(0))
+        return let(whole, lambda w: F.transform(w, lambda _, i: size(F.get(gaps, i)) + F.coalesce(size(F.get(w, i - 1)), F.lit(0).cast("long"))))
+
+    return prefix_sums(let(F.split(text, p["regex"], -1), lambda g: F.when(p["literal"], of_literal(g)).otherwise(of_regex(g))))
+
+
+def match_array(text: Column, offsets: bool = True, patterns=tuple(PATTERNS)) -> Column:
     """All matches in an already normalised text, detector by detector; without offsets these are null and cost nothing.
 
-    lower is the text with A-Z lower-cased: a literal that it does not contain, as a regex that does not fit, costs a single look.
+    An expression is tried only on a text that holds one of its fragments, or a rare character where it has none. text is used several times.
     """
-    parts = []
-    for pattern_id, category, severity, kind, value in patterns:
-        if offsets:
-            found = _literal_matches(text, value) if kind == "literal" else _regex_matches(text, value)
-            text_of, offset_of = (lambda m: m["text"]), (lambda m: m["offset"])
-        else:
-            regex, group = (rf"(?i)(?=({_quoted(value)}))", 1) if kind == "literal" else (value, 0)
-            found = F.regexp_extract_all(text, F.lit(regex), F.lit(group))
-            text_of, offset_of = (lambda m: m), (lambda m: F.lit(None).cast("long"))
-        seen = lower.contains(value) if kind == "literal" else text.rlike(value)
-        matches = F.transform(found, _labelled(pattern_id, category, severity, text_of, offset_of))
-        parts.append(F.when(seen, matches).otherwise(F.array().cast(f"array<{MATCH}>")))
-    return F.concat(*parts)
+
+    def found_by(p: Column) -> Column:
+        def label(x: Column, offset: Column) -> Column:
+            return F.struct(p["pattern_id"].alias("pattern_id"), p["category"].alias("category"), p["severity"].alias("severity"), x.alias("text"), offset.alias("offset"))
+
+        found = F.regexp_extract_all(text, p["regex"], p["grp"])
+        if not offsets:
+            return F.transform(F.filter(found, lambda x: x != ""), lambda x: label(x, F.lit(None).cast("bigint")))
+        return let(found, lambda e: F.when(F.size(e) > 0, F.filter(F.zip_with(e, _offsets(text, p, e), label), lambda m: m["text"] != "")).otherwise(F.array().cast(f"array<{MATCH}>")))
+
+    def in_lower(low: Column, rare: Column) -> Column:
+        fits = lambda p: F.when(F.size(p["needs"]) == 0, rare).otherwise(F.exists(p["needs"], lambda f: F.contains(low, f)))
+        return F.flatten(F.transform(F.filter(F.expr(_detectors_sql(patterns)), fits), found_by))
+
+    rare = (F.octet_length(text) != F.length(text)) & text.rlike(RARE)
+    return let(F.struct(F.lower(text).alias("low"), rare.alias("rare")), lambda t: in_lower(t["low"], t["rare"]))
 
 
 def keep_disallowed(matches: Column, allow: Allow) -> Column:
@@ -119,8 +145,11 @@ def keep_disallowed(matches: Column, allow: Allow) -> Column:
 
 
 def dedup(matches: Column) -> Column:
-    """First match of each detector and offset."""
-    return F.array_distinct(matches)
+    """First match of each detector and offset, in that order; matches without offsets cannot be told apart and are an error."""
+    keyed = F.array_sort(F.transform(matches, lambda m, i: F.struct(m["pattern_id"].alias("id"), m["offset"].alias("offset"), i.alias("i"), m.alias("m"))))
+    fresh = lambda k: F.filter(k, lambda x, i: (i == 0) | (x["id"] != F.get(k, i - 1)["id"]) | (x["offset"] != F.get(k, i - 1)["offset"]))
+    unique = let(keyed, lambda k: F.transform(fresh(k), lambda x: x["m"]))
+    return F.when(F.exists(matches, lambda m: m["offset"].isNull()), F.raise_error(F.lit("matches have no offsets")).cast(f"array<{MATCH}>")).otherwise(unique)
 
 
 def severity_weight(severity: Column) -> Column:
@@ -146,8 +175,7 @@ def verdict(matches: Column, total: Column, sensitivity: str = "medium") -> Colu
 def scan(df: DataFrame, text: str = "text", sensitivity: str = "medium", allow: Allow = Allow(), offsets: bool = True) -> DataFrame:
     """df with matches, score and verdict of its text column; null texts are empty and pass."""
     out = once(df, "clean_", strip_invisible(F.col(text)))
-    out = once(out, "lower_", ascii_lower(F.col("clean_")))
-    out = once(out, "matches", keep_disallowed(match_array(F.col("clean_"), F.col("lower_"), offsets), allow)).drop("clean_", "lower_")
+    out = once(out, "matches", keep_disallowed(match_array(F.col("clean_"), offsets), allow)).drop("clean_")
     out = out.withColumn("score", score(F.col("matches")))
     return out.withColumn("verdict", verdict(F.col("matches"), F.col("score"), sensitivity))
 

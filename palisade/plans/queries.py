@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from palisade.functions.catalogue import DIVERSITY, PATTERNS, RATIONALE, THRESHOLDS, WEIGHTS, patterns_df, rationale_df, threshold
 from palisade.functions.text import INVISIBLE, sha_prefix, strip_invisible, tail, truncate_bytes, truncate_marked, url_host
-from palisade.operators.detect import Allow, dedup, envelope_verdicts, match_rows, record_verdicts, scan
+from palisade.operators.detect import Allow, dedup, envelope_verdicts, match_rows, once, record_verdicts, scan
 from palisade.operators.records import Compression, Routing, compressor, extract_strings, hook, line_stats, process_lines
 from palisade.plans import seeds
 from palisade.plans.seeds import probes_sql, sql_text
@@ -130,9 +130,8 @@ _register("dedup_matches", dedup_matches, f"{_BASE}, {_scored()} SELECT doc_id,
 
 
 def strip_effect(spark, d):
-    t = seeds.documents(spark, d)
-    s = strip_invisible(F.col("text"))
-    return t.select("doc_id", (F.octet_length("text") - F.octet_length(s)).cast("long").alias("dropped"), F.md5(s.cast("binary")).alias("md5"))
+    t = once(once(seeds.documents(spark, d), "text", F.col("text")), "s", strip_invisible(F.col("text")))
+    return t.select("doc_id", (F.octet_length("text") - F.octet_length("s")).cast("long").alias("dropped"), F.md5(F.col("s").cast("binary")).alias("md5"))
 
 
 _register("strip_effect", strip_effect, f"WITH {_DOCS}, {_NORM} SELECT doc_id, CAST(strlen(text) - strlen(t) AS BIGINT) AS dropped, md5(t) AS md5 FROM norm")

@@ -61,3 +61,21 @@ def sha_prefix(text: Column) -> Column:
 def tail(array: Column, most: int) -> Column:
     """The last `most` items of an array; 0 is no limit."""
     return array if most <= 0 else F.when(F.size(array) > most, F.slice(array, -most, most)).otherwise(array)
+
+
+def fixed_point(number: Column, digits: int) -> Column:
+    """A number with that many decimals and no thousands marks; ties go to the even digit."""
+    return F.call_function("format_number", number, F.lit("0." + "0" * digits))
+
+
+def quoted(text: Column) -> Column:
+    """text in double quotes, with quotes, backslashes, control and other undisplayed characters escaped."""
+
+    def one(c: Column) -> Column:
+        plain = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t", "\0": "\\0"}
+        out = F.when(c.rlike(r"[\p{Cc}\p{Cf}\p{Co}\p{Cn}\p{Zl}\p{Zp}]"), F.concat(F.lit("\\u{"), F.lower(F.hex(F.ascii(c))), F.lit("}"))).otherwise(c)
+        for k, v in plain.items():
+            out = F.when(c == k, F.lit(v)).otherwise(out)
+        return out
+
+    return F.concat(F.lit('"'), F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), one), ""), F.lit('"'))

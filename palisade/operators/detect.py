@@ -172,8 +172,20 @@ def verdict(matches: Column, total: Column, sensitivity: str = "medium") -> Colu
     return F.when((F.size(matches) > 0) & (critical | (total >= threshold(sensitivity))), "block").otherwise("pass")
 
 
+def blocks(text: Column, sensitivity: str = "medium", allow: Allow = Allow()) -> Column:
+    """Whether one text blocks, as an expression for use inside arrays of texts."""
+    found = let(strip_invisible(text), lambda c: keep_disallowed(match_array(c, offsets=False), allow))
+    return let(found, lambda m: verdict(m, score(m), sensitivity) == "block")
+
+
 def scan(df: DataFrame, text: str = "text", sensitivity: str = "medium", allow: Allow = Allow(), offsets: bool = True) -> DataFrame:
-    """df with matches, score and verdict of its text column; null texts are empty and pass."""
+    """df with matches, score and verdict of its text column; null texts are empty and pass.
+
+    Where a column fits (see sources.lines) is false the text is not looked at, and the verdict is block.
+    """
+    if "fits" in df.columns:
+        seen = scan(df.withColumn("seen_", F.when(F.col("fits"), F.col(text))).withColumnRenamed("fits", "fits_"), "seen_", sensitivity, allow, offsets).withColumnRenamed("fits_", "fits")
+        return seen.drop("seen_").withColumn("verdict", F.when(F.col("fits"), F.col("verdict")).otherwise("block"))
     out = once(df, "clean_", strip_invisible(F.col(text)))
     out = once(out, "matches", keep_disallowed(match_array(F.col("clean_"), offsets), allow)).drop("clean_")
     out = out.withColumn("score", score(F.col("matches")))

@@ -10,19 +10,25 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from palisade.functions.text import truncate_bytes  # noqa: F401  (the JVM form of _cut)
-from palisade.operators.detect import Allow, envelope_verdicts, scan
+from palisade.functions.catalogue import THRESHOLDS
+from palisade.functions.text import fixed_point, strip_invisible
+from palisade.operators.detect import Allow, blocks, keep_disallowed, let, match_array, once, score, verdict
+from palisade.operators.reports import raw_line, safe_line
 
 # Shortest string that is not scanned, message fields, depth that parsing allows, error code.
 SHORT, MESSAGE_FIELDS, DEPTH, ERROR_CODE = 3, ("messages", "history", "results", "items", "entries"), 128, -32001
 CONTENT_FIELDS = ("content", "text", "body", "message", "description", "caption")
 BLOCKED = "request blocked: its result looks like a prompt injection"
+OVERSIZED = "message blocked: it is larger than a record may be"
 
 
-_COMPRESSED = T.StructType([T.StructField("out", T.StringType()), T.StructField("original_size", T.LongType()), T.StructField("compressed_size", T.LongType())])
-_MESSAGE = T.StructType([T.StructField("result", T.StringType()), T.StructField("id", T.StringType())])
+# as types, for reading a type's text takes a session, which a Python worker has not
+_TEXT, _TEXTS, _LONG = T.StringType(), T.ArrayType(T.StringType()), T.LongType()
+_COMPRESSED = T.StructType([T.StructField("out", _TEXT), T.StructField("original_size", _LONG), T.StructField("compressed_size", _LONG)])
+_OPENED = T.StructType([T.StructField("id", _TEXT), T.StructField("strings", _TEXTS), T.StructField("rewritten", _TEXT)])
+_ENVELOPE = T.StructType([T.StructField("problem", _TEXT), T.StructField("tool_name", _TEXT), T.StructField("strings", _TEXTS)])
 
 
 @dataclass(frozen=True)
@@ -80,7 +86,7 @@ def walk(value) -> Iterator[str]:
             yield from walk(v)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
+@F.pandas_udf(_TEXTS)
 def extract_strings(docs: pd.Series) -> pd.Series:
     """The strings of a JSON document in order; none if it does not parse."""
 
@@ -138,34 +144,6 @@ def compressor(c: Compression):
     return compress
 
 
-@F.pandas_udf(_MESSAGE)
-def split_message(lines: pd.Series) -> pd.DataFrame:
-    """JSON of a line's result and id; nulls where the line is no object, or lacks them."""
-
-    def one(raw):
-        try:
-            v = parse(raw) if raw and raw[0] == "{" else None
-        except ValueError:
-            v = None
-        if not isinstance(v, dict) or "result" not in v:
-            return None, None
-        return dump(v["result"]), dump(v["id"]) if "id" in v else None
-
-    return pd.DataFrame([one(x) for x in lines], columns=["result", "id"])
-
-
-@F.pandas_udf(T.StringType())
-def with_result(lines: pd.Series, results: pd.Series) -> pd.Series:
-    """The line with its result replaced in place, compact."""
-
-    def one(raw, result):
-        v = parse(raw)
-        v["result"] = parse(result)
-        return dump(v)
-
-    return pd.Series([one(a, b) for a, b in zip(lines, results)], dtype=object)
-
-
 @dataclass(frozen=True)
 class Routing:
     sensitivity: str = "medium"
@@ -180,65 +158,110 @@ class Routing:
             raise ValueError("scan_only and compress_only exclude each other")
 
 
-def process_lines(lines: DataFrame, how: Routing, key: str = "line_id", value: str = "value") -> DataFrame:
-    """(key, value, out, route, blocking) of line-delimited messages; route is passthrough, blocked or rewritten.
+def opener(how: Routing):
+    """A column function: a line -> struct(id, strings, rewritten); a null where the line is no object or has no result.
+
+    strings are those of the result, to be scanned; rewritten is the line with its result compressed in place, key order kept.
+    """
+
+    def one(raw):
+        try:
+            v = parse(raw) if raw and raw[0] == "{" else None
+        except ValueError:
+            v = None
+        if not isinstance(v, dict) or "result" not in v:
+            return None, None, None
+        strings = [] if how.compress_only else list(walk(v["result"]))
+        if not how.scan_only:
+            v["result"] = _rewrite(v["result"], "", how.compression)
+        return dump(v["id"]) if "id" in v else None, strings, dump(v)
+
+    @F.pandas_udf(_OPENED)
+    def open_(lines: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(x) for x in lines], columns=["id", "strings", "rewritten"], dtype=object)
+
+    return open_
+
+
+def process_lines(lines: DataFrame, how: Routing, value: str = "value") -> DataFrame:
+    """lines with out, route and blocking; route is passthrough, blocked, rewritten or oversized. Row by row: no shuffle, batch or stream.
 
     A line that does not start with {, does not parse or has no result passes byte for byte. Scanning comes before
-    compression, so what compression cuts off is scanned as well. blocking counts blocking strings.
+    compression, so what compression cuts off is scanned as well. blocking counts blocking strings. A line whose column fits
+    (see sources.lines) is false is not opened: an error takes its place, whatever the action.
     """
-    m = lines.select(key, value, split_message(F.col(value)).alias("m")).select(key, value, "m.result", "m.id")
-    if how.compress_only:
-        m = m.withColumn("blocking", F.lit(0).cast("long"))
-    else:
-        strings = m.select(key, F.explode(extract_strings(F.col("result"))).alias("text"))
-        blocks = scan(strings, "text", how.sensitivity, how.allow, offsets=False).where("verdict = 'block'").groupBy(key).agg(F.count("*").alias("blocking"))
-        m = m.join(blocks, key, "left").withColumn("blocking", F.coalesce("blocking", F.lit(0)).cast("long"))
-    handled = F.col("result").isNotNull()
-    blocked = handled & (F.col("blocking") > 0) & F.lit(how.action == "block" and not how.compress_only)
-    head = f'{{"jsonrpc":"2.0","error":{{"code":{ERROR_CODE},"message":"{BLOCKED}"}}'
-    error = F.concat(F.lit(head), F.coalesce(F.concat(F.lit(',"id":'), F.col("id")), F.lit("")), F.lit("}"))
-    body = F.col("result") if how.scan_only else compressor(how.compression)(F.col("result"))["out"]
-    rest = with_result(F.when(handled, F.col(value)).otherwise(F.lit("{}")), F.coalesce(body, F.lit("null")))
-    route = F.when(~handled, "passthrough").when(blocked, "blocked").otherwise("rewritten")
-    out = F.when(~handled, F.col(value)).when(blocked, error).otherwise(rest)
-    return m.select(key, value, out.alias("out"), route.alias("route"), "blocking")
+    fits = F.col("fits") if "fits" in lines.columns else F.lit(True)
+    kept = [F.col(f"`{c}`") for c in lines.columns]
+    m = lines.select(*kept, opener(how)(F.when(fits, F.col(value))).alias("m_"))
+    per_string = F.filter("m_.strings", lambda s: blocks(s, how.sensitivity, how.allow))
+    m = once(m, "blocking", F.when(F.col("m_.strings").isNull(), 0).otherwise(F.size(per_string)).cast("long"))
+    handled, error = F.col("m_.rewritten").isNotNull(), lambda text: f'{{"jsonrpc":"2.0","error":{{"code":{ERROR_CODE},"message":"{text}"}}'
+    blocked = handled & (F.col("blocking") > 0) & F.lit(how.action == "block")
+    with_id = F.concat(F.lit(error(BLOCKED)), F.coalesce(F.concat(F.lit(',"id":'), F.col("m_.id")), F.lit("")), F.lit("}"))
+    route = F.when(~fits, "oversized").when(~handled, "passthrough").when(blocked, "blocked").otherwise("rewritten")
+    out = F.when(~fits, F.lit(error(OVERSIZED) + "}")).when(~handled, F.col(value)).when(blocked, with_id).otherwise(F.col("m_.rewritten"))
+    return m.select(*kept, out.alias("out"), route.alias("route"), "blocking").drop("fits")
+
+
+def counters(value: str = "value") -> list[Column]:
+    """Aggregates of processed lines: total, processed, bytes in and out, warnings, blocks; for agg() or observe()."""
+    n = lambda c: F.count(F.when(c, 1))
+    size = lambda c: F.coalesce(F.sum(F.octet_length(c).cast("long")), F.lit(0))
+    strings = F.coalesce(F.sum("blocking"), F.lit(0))
+    return [F.count(F.lit(1)).alias("total"), n(F.col("route").isin("blocked", "rewritten")).alias("processed"), size(value).alias("bytes_in"), size("out").alias("bytes_out"), strings.alias("warnings"), strings.alias("blocks"), n(F.col("route") == "oversized").alias("oversized")]
 
 
 def line_stats(processed: DataFrame, value: str = "value") -> DataFrame:
-    """Counters of processed lines: total, processed, bytes in and out, warnings, blocks, share saved."""
-    n = lambda c: F.count(F.when(c, 1))
-    g = processed.agg(
-        F.count("*").alias("total"), n(F.col("route") != "passthrough").alias("processed"), F.sum(F.octet_length(value).cast("long")).alias("bytes_in"),
-        F.sum(F.octet_length("out").cast("long")).alias("bytes_out"), F.sum("blocking").alias("warnings"), F.sum("blocking").alias("blocks"),
-    )
+    """Counters of processed lines and the share of bytes saved."""
+    g = processed.agg(*counters(value))
     return g.withColumn("saved_percent", F.when(F.col("bytes_in") > 0, (F.col("bytes_in") - F.col("bytes_out")) / F.col("bytes_in") * 100))
 
 
-def hook(envelopes: DataFrame, sensitivity: str = "medium", mode: str = "warn", allow: Allow = Allow(), key: str = "envelope_id", value: str = "value") -> DataFrame:
-    """(key, tool_name, num_matches, score, verdict, redacted, redaction) of blocking hook envelopes; passing ones give no row.
+@F.pandas_udf(_ENVELOPE)
+def open_envelope(envelopes: pd.Series) -> pd.DataFrame:
+    """What is wrong with an envelope, if anything; its tool; the strings of its response, then those of its input (null without either)."""
+
+    def one(raw):
+        try:
+            v = parse(raw or "")
+        except ValueError as e:
+            return f"not JSON: {type(e).__name__}", None, None
+        if not isinstance(v, dict):
+            return "not an object", None, None
+        tool = v.get("tool_name", "")
+        if not isinstance(tool, str):
+            return "tool_name is not a string", None, None
+        parts = [v[k] for k in ("tool_response", "tool_input") if v.get(k) is not None]
+        return None, tool, [s for p in parts for s in walk(p)] if parts else None
+
+    return pd.DataFrame([one(x) for x in envelopes], columns=["problem", "tool_name", "strings"], dtype=object)
+
+
+def bad_envelopes(envelopes: DataFrame, key: str = "envelope_id", value: str = "value") -> DataFrame:
+    """(key, problem) of envelopes that cannot be read; hook() gives no row for them."""
+    return envelopes.select(key, open_envelope(F.col(value))["problem"].alias("problem")).where("problem is not null")
+
 
-    Strings of the response come before those of the input, and one verdict covers both. redaction is set in block mode.
+def hook(envelopes: DataFrame, sensitivity: str = "medium", mode: str = "warn", allow: Allow = Allow(), key: str = "envelope_id", value: str = "value", excerpts: bool = False) -> DataFrame:
+    """(key, tool_name, num_matches, score, verdict, redacted, redaction, headline, report) of blocking hook envelopes; passing ones give no row.
+
+    Strings of the response come before those of the input, and one verdict covers both, row by row. redaction is set in block mode.
+    report has a line for each match, without matched text unless excerpts are asked for.
     """
-    e = envelopes.select(key, value)
-    field_ = lambda name: F.get_json_object(value, f"$.{name}")
-    strings = F.concat(extract_strings(_part(F.col(value), F.lit("tool_response"))), extract_strings(_part(F.col(value), F.lit("tool_input"))))
-    e = e.withColumn("tool_name", F.coalesce(field_("tool_name"), F.lit("")))
-    texts = e.select(key, "tool_name", F.explode(strings).alias("text"))
-    g = envelope_verdicts(scan(texts, "text", sensitivity, allow, offsets=False), key, "tool_name", sensitivity=sensitivity).where("verdict = 'block'")
-    notice = F.concat(F.lit("[redacted: possible prompt injection (score="), F.format_number("score", 1), F.lit(", "), F.col("num_matches").cast("string"), F.lit(" pattern matches)]"))
+    if sensitivity not in THRESHOLDS:
+        raise ValueError(f"sensitivity {sensitivity!r} is not low, medium or high")
+    if mode not in ("warn", "block"):
+        raise ValueError(f"mode {mode!r} is neither warn nor block")
+    e = envelopes.select(key, open_envelope(F.col(value)).alias("e")).select(key, "e.tool_name", "e.strings").where("strings is not null")
+    e = once(e, "matches", F.flatten(F.transform("strings", lambda s: let(strip_invisible(s), lambda c: keep_disallowed(match_array(c), allow)))))
+    e = once(e.drop("strings"), "score", score(F.col("matches")))
+    e = e.withColumn("verdict", verdict(F.col("matches"), F.col("score"), sensitivity)).where("verdict = 'block'")
+    n, tenths = F.size("matches").cast("long"), fixed_point(F.col("score"), 1)
+    notice = F.concat(F.lit("[redacted: possible prompt injection (score="), tenths, F.lit(", "), n.cast("string"), F.lit(" pattern matches)]"))
     slot = F.when(F.col("tool_name").startswith("mcp__"), F.lit("updatedMCPToolOutput")).otherwise(F.lit("updatedToolOutput"))
     body = F.concat(F.lit('{"hookSpecificOutput":{"hookEventName":"PostToolUse","'), slot, F.lit('":"'), notice, F.lit('"}}'))
     redacted = F.lit(mode == "block")
-    return g.select(key, "tool_name", "num_matches", "score", "verdict", redacted.alias("redacted"), F.when(redacted, body).alias("redaction"))
-
-
-@F.pandas_udf(T.StringType())
-def _part(envelopes: pd.Series, names: pd.Series) -> pd.Series:
-    def one(raw, name):
-        try:
-            v = parse(raw)
-        except (ValueError, TypeError):
-            return None
-        return dump(v[name]) if isinstance(v, dict) and v.get(name) is not None else None
-
-    return pd.Series([one(a, b) for a, b in zip(envelopes, names)], dtype=object)
+    label = "BLOCKED: injection detected (redacted)" if mode == "block" else "WARNING: potential injection"
+    headline = F.concat(F.lit(f"{label} on "), F.col("tool_name"), F.lit(" (score="), tenths, F.lit(", "), n.cast("string"), F.lit(" matches)"))
+    report = F.transform("matches", lambda m: raw_line(m) if excerpts else safe_line(m))
+    return e.select(key, "tool_name", n.alias("num_matches"), "score", "verdict", redacted.alias("redacted"), F.when(redacted, body).alias("redaction"), headline.alias("headline"), report.alias("report"))

@@ -10,9 +10,12 @@ from palisade.functions.catalogue import DIVERSITY, PATTERNS, RATIONALE, THRESHO
 from palisade.functions.text import INVISIBLE, sha_prefix, strip_invisible, tail, truncate_bytes, truncate_marked, url_host
 from palisade.operators.detect import Allow, dedup, envelope_verdicts, match_rows, once, record_verdicts, scan
 from palisade.operators.records import Compression, Routing, compressor, extract_strings, hook, line_stats, process_lines
+from palisade.operators.reports import explain, safe_line
 from palisade.plans import seeds
 from palisade.plans.seeds import probes_sql, sql_text
 from palisade.sources import audit
+from palisade.sources.tables import work_folder
+from palisade.streaming import stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -136,6 +139,13 @@ def strip_effect(spark, d):
 
 _register("strip_effect", strip_effect, f"WITH {_DOCS}, {_NORM} SELECT doc_id, CAST(strlen(text) - strlen(t) AS BIGINT) AS dropped, md5(t) AS md5 FROM norm")
 
+def match_reports(spark, d):
+    m = scan(seeds.documents(spark, d)).select("doc_id", F.explode("matches").alias("m"))
+    return m.select("doc_id", safe_line(F.col("m")).alias("line"))
+
+
+_register("match_reports", match_reports, f"""SELECT doc_id, '  ' || pattern_id || ' [' || category || '/' || severity || '] offset=' || "offset" || ' len=' || text_len || ' sha256=' || text_sha256 AS line FROM ({SQL['match_facts']})""")
+
 # ---------------------------------------------------------------- allow-lists
 
 
@@ -159,10 +169,10 @@ def _host_sql(t: str) -> str:
 
 
 def allow_host_verdict(spark, d):
-    return scan(seeds.documents(spark, d), "text", "medium", Allow(hosts=("grafana.net", "example.com")), offsets=False).select("doc_id", _n(), "score", "verdict")
+    return scan(seeds.documents(spark, d), "text", "medium", Allow(hosts=("example.net", "example.com")), offsets=False).select("doc_id", _n(), "score", "verdict")
 
 
-_OK = " OR ".join(f"h = '{x}' OR ends_with(h, '.{x}')" for x in ("grafana.net", "example.com"))
+_OK = " OR ".join(f"h = '{x}' OR ends_with(h, '.{x}')" for x in ("example.net", "example.com"))
 _register(
     "allow_host_verdict", allow_host_verdict,
     f"""{_BASE}, rxs AS (SELECT doc_id, pattern_id, h.category, h.severity, unnest(regexp_extract_all(t, rx)) AS x FROM hits h JOIN norm USING (doc_id) JOIN p USING (pattern_id) WHERE pattern_type = 'regex'),
@@ -234,13 +244,24 @@ SELECT doc_id AS envelope_id, tool_name, num_matches, score, true AS redacted, C
 )
 
 
+def redaction_notices(spark, d):
+    return hook(_envelopes(spark, d), "medium", "block").select("envelope_id", "redaction", "headline")
+
+
+_register(
+    "redaction_notices", redaction_notices,
+    f"""SELECT envelope_id, '{{"hookSpecificOutput":{{"hookEventName":"PostToolUse","' || slot || '":"[redacted: possible prompt injection (score=' || printf('%.1f', score) || ', ' || num_matches || ' pattern matches)]"}}}}' AS redaction,
+  'BLOCKED: injection detected (redacted) on ' || tool_name || ' (score=' || printf('%.1f', score) || ', ' || num_matches || ' matches)' AS headline FROM ({SQL['hook_redactions']})""",
+)
+
+
 def _lines(spark, d):
     """Messages in every shape that the gates tell apart, by turn."""
     t = seeds.conversations(spark, d)
     key = F.col("conv_id") * 100 + F.col("turn")
     result = F.to_json(F.struct(F.lit("2.0").alias("jsonrpc"), key.alias("id"), F.struct(F.col("role").alias("kind"), F.col("text").alias("content")).alias("result")))
     shape = key % 5
-    line = F.when(shape == 0, F.concat(F.lit(" "), result)).when(shape == 1, F.concat(F.lit("["), result, F.lit("]"))).when(shape == 2, F.lit('{"jsonrpc":"2.0","error":{"code":1}}')).otherwise(result)
+    line = F.when(shape == 0, F.concat(F.lit(" "), result)).when(shape == 1, F.concat(F.lit("["), result, F.lit("]"))).when(shape == 2, F.concat(F.lit('{"jsonrpc":"2.0","id":'), key.cast("string"), F.lit(',"error":{"code":1}}'))).otherwise(result)
     return t.select(key.alias("line_id"), line.alias("value"))
 
 
@@ -269,6 +290,61 @@ def rpc_line_counts(spark, d):
 _register("rpc_line_counts", rpc_line_counts, f"{_SHAPED} SELECT count(*) AS total, count(*) FILTER (shape >= 3) AS processed, count(*) FILTER (shape >= 3 AND v = 'block') AS warnings, count(*) FILTER (shape >= 3 AND v = 'block') AS blocks FROM lines")
 
 
+def rewritten_lines(spark, d):
+    out = process_lines(_lines(spark, d), Routing("medium", "block", scan_only=True)).where("route = 'rewritten'")
+    return out.select("line_id", F.md5(F.col("out").cast("binary")).alias("md5"))
+
+
+_register(
+    "rewritten_lines", rewritten_lines,
+    f"""{_SHAPED} SELECT doc_id AS line_id, md5('{{"jsonrpc":"2.0","id":' || doc_id || ',"result":{{"kind":' || to_json(role) || ',"content":' || to_json(text) || '}}}}') AS md5
+FROM lines JOIN texts USING (doc_id) WHERE {_ROUTE} = 'rewritten'""",
+)
+
+
+def compressed_lines(spark, d):
+    how = Routing("medium", "warn", compression=Compression(max_content_length=120, strip_fields=("kind",), content_fields=("content",)), compress_only=True)
+    out = process_lines(_lines(spark, d), how).where("route = 'rewritten'")
+    return out.select("line_id", F.md5(F.col("out").cast("binary")).alias("md5"), F.octet_length("out").cast("long").alias("size"))
+
+
+_CUTS120 = "coalesce(" + ", ".join(f"try(decode(encode(text)[1:{120 - k}]))" for k in range(4)) + ")"
+_register(
+    "compressed_lines", compressed_lines,
+    f"""WITH {_TURNS}, c AS (SELECT doc_id, text, CASE WHEN strlen(text) <= 120 THEN text ELSE {_CUTS120} END AS kept FROM texts WHERE doc_id % 5 >= 3),
+o AS (SELECT doc_id, '{{"jsonrpc":"2.0","id":' || doc_id || ',"result":{{"content":' || to_json(CASE WHEN strlen(text) <= 120 THEN text ELSE kept || '...[truncated ' || (strlen(text) - strlen(kept)) || ' chars]' END) || '}}}}' AS s FROM c)
+SELECT doc_id AS line_id, md5(s) AS md5, CAST(strlen(s) AS BIGINT) AS size FROM o""",
+)
+
+
+def stream_route(spark, d):
+    """The lines as text files, routed by a stream and read back."""
+    folder = work_folder(spark, "lines")
+    _lines(spark, d).select("value").write.option("lineSep", "\n").text(f"{folder}/in")
+    stream.write_ordered(stream.read_stream(spark, f"{folder}/in", 3), Routing("medium", "block", scan_only=True), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    out = spark.read.parquet(f"{folder}/out")
+    return out.select(F.regexp_extract("value", '"id":([0-9]+)', 1).cast("long").alias("line_id"), "route", "blocking")
+
+
+_register("stream_route", stream_route, SQL["rpc_routes"])
+
+
+def stream_verdicts(spark, d):
+    """Blocking lines found by a stream and left in the audit log."""
+    folder = work_folder(spark, "scan")
+    t = seeds.conversations(spark, d)
+    t.select(F.regexp_replace("text", r"[\r\n]+", " ").alias("value")).write.option("lineSep", "\n").text(f"{folder}/in")
+    stream.write_audit(stream.scan_stream(stream.read_stream(spark, f"{folder}/in", 3)), f"{folder}/log", f"{folder}/checkpoint").awaitTermination()
+    return audit.read(spark, f"{folder}/log").groupBy("score", "num_matches").agg(F.count("*").alias("n"))
+
+
+_register(
+    "stream_verdicts", stream_verdicts,
+    f"""WITH {_P}, {_TURNS.replace("concat_ws(' ', c.text, snippet) AS text", "regexp_replace(concat_ws(' ', c.text, snippet), '[' || chr(13) || chr(10) || ']+', ' ', 'g') AS text")}, {_NORM}, {_HITS}, {_scored()}
+SELECT score, num_matches, count(*) AS n FROM scored WHERE {_verdict('medium')} = 'block' GROUP BY ALL""",
+)
+
+
 def extracted_strings(spark, d):
     t = seeds.conversations(spark, d)
     doc = F.to_json(F.struct(F.col("role").alias("role"), F.array("text", F.lit("abc")).alias("content")))
@@ -379,6 +455,54 @@ _register(
 SELECT 'doc-' || doc_id AS tool_name, 'warn' AS mode, 'block' AS verdict, score, num_matches, false AS redacted, CAST(b AS BIGINT) AS matched_bytes FROM scored JOIN sizes USING (doc_id) WHERE {_verdict('medium')} = 'block'""",
 )
 
+def audit_roundtrip(spark, d):
+    """audit_events written to a log and read back."""
+    folder = work_folder(spark, "audit")
+    e = audit.events(scan(seeds.documents(spark, d)), F.lit("2024-01-01 00:00:00").cast("timestamp"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")), "medium", "warn")
+    audit.append(e, folder)
+    return audit.query(audit.read(spark, folder), verdict="block", tool="doc-").select("tool_name", "mode", "verdict", "score", "num_matches", "redacted", F.aggregate("matches", F.lit(0).cast("long"), lambda a, m: a + m["text_len"]).alias("matched_bytes"))
+
+
+_register("audit_roundtrip", audit_roundtrip, SQL["audit_events"])
+
+
+def _event_log(spark, d):
+    """The events as a log, in the order of their ids."""
+    none = F.array().cast(audit.MATCHES)
+    e = _log(spark, d).withColumn("tool_name", F.concat("tool_name", F.lit("-"), F.col("event_id").cast("string")))
+    return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "tool_name", F.lit("medium").alias("sensitivity"), F.lit("warn").alias("mode"), "verdict", "score", (F.col("event_id") % 9).alias("num_matches"), F.lit(False).alias("redacted"), none.alias("matches"))
+
+
+def audit_file_order(spark, d):
+    """The newest events of a log by file and place in it."""
+    folder = work_folder(spark, "audit")
+    audit.append(_event_log(spark, d).repartitionByRange(3, "event_id").sortWithinPartitions("event_id").drop("event_id"), folder)
+    return audit.query(audit.read(spark, folder), verdict="block", limit=25).select("tool_name", "score")
+
+
+_register("audit_file_order", audit_file_order, f"{_LOG} SELECT tool_name || '-' || event_id AS tool_name, score FROM log WHERE verdict = 'block' ORDER BY event_id DESC LIMIT 25")
+
+
+def audit_lines(spark, d):
+    return audit.table_lines(_event_log(spark, d)).select("event_id", "line")
+
+
+_register(
+    "audit_lines", audit_lines,
+    f"""{_LOG} SELECT event_id, rpad(strftime(ts, '%Y-%m-%dT%H:%M:%SZ'), 25, ' ') || ' ' || rpad(verdict, 7, ' ') || ' ' || rpad(printf('%.1f', score), CAST(greatest(6, len(printf('%.1f', score))) AS INTEGER), ' ') || ' ' || rpad(CAST(event_id % 9 AS VARCHAR), 7, ' ') || ' ' || tool_name || '-' || event_id AS line FROM log""",
+)
+
+
+def audit_details(spark, d):
+    return audit.detail_lines(_event_log(spark, d)).select("event_id", F.array_join("lines", "|").alias("lines"))
+
+
+_register(
+    "audit_details", audit_details,
+    f"""{_LOG} SELECT event_id, 'Event ' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 = 0 THEN '' WHEN epoch_us(ts) % 1000 = 0 THEN '.' || strftime(ts, '%g') ELSE '.' || strftime(ts, '%f') END || '+00:00|  tool:        ' || tool_name || '-' || event_id
+  || '|  verdict:     ' || verdict || '  (mode=warn sensitivity=medium)|  score:       ' || printf('%.2f', score) || ' across ' || (event_id % 9) || ' matches|  redacted:    false' AS lines FROM log""",
+)
+
 # ---------------------------------------------------------------- catalogue
 
 _RATIONALE = f"rationale(category, rationale) AS (VALUES {_rows(sorted(RATIONALE.items()))})"
@@ -392,6 +516,20 @@ def explain_patterns(spark, d):
 _register("explain_patterns", explain_patterns, f"WITH {_P}, {_RATIONALE} SELECT pattern_id, category, severity, pattern_type, md5(rx) AS value_md5, rationale FROM p LEFT JOIN rationale USING (category)")
 
 
+def explain_ids(spark, d):
+    """Answers for the ids that events name, most of them unknown."""
+    ids = spark.read.parquet(f"{d}/events.parquet").select(F.concat(F.lit("ch-00"), (F.col("event_id") % 9).cast("string")).alias("pattern_id")).distinct()
+    return explain(ids).select("pattern_id", "known", "line", "rationale")
+
+
+_register(
+    "explain_ids", explain_ids,
+    f"""WITH {_P}, {_RATIONALE}, ids AS (SELECT DISTINCT 'ch-00' || (event_id % 9) AS pattern_id FROM events)
+SELECT i.pattern_id, p.rx IS NOT NULL AS known, CASE WHEN p.rx IS NULL THEN 'unknown pattern_id "' || i.pattern_id || '"' ELSE i.pattern_id || '  ' || p.category || '  ' || severity || '  ' || pattern_type || ' match' END AS line, rationale
+FROM ids i LEFT JOIN p ON p.pattern_id = i.pattern_id LEFT JOIN rationale r ON r.category = p.category""",
+)
+
+
 def explain_hits(spark, d):
     m = match_rows(scan(seeds.documents(spark, d)), "doc_id").groupBy("pattern_id").agg(F.countDistinct("doc_id").alias("docs"))
     return m.join(F.broadcast(patterns_df(spark)), "pattern_id").select("pattern_id", "docs", "severity", "pattern_type")

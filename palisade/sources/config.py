@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from dataclasses import dataclass, field
 
@@ -49,12 +50,52 @@ def load(text: str) -> Config:
     return config
 
 
+def routing(text: str | None, scan_only: bool = False, compress_only: bool = False) -> Routing:
+    """How lines are processed under a configuration; without one they are scanned only."""
+    if text is None:
+        return Routing(scan_only=True, compress_only=compress_only)
+    return load(text).routing(scan_only, compress_only)
+
+
 def load_allow(text: str) -> Allow:
     """The allow-list of a configuration for the hook; on any error nothing is allowed, and scanning goes on."""
+    return hook_allow(text)[0]
+
+
+def hook_allow(text: str, sensitivity: str = "medium", mode: str = "warn", name: str = "configuration") -> tuple[Allow, list[str]]:
+    """(allow-list, warnings) of a configuration for the hook, which takes nothing else from it.
+
+    An unreadable one allows nothing and warns. One that states a sensitivity or an action other than what holds warns that they are ignored.
+    """
+    import yaml
+
+    try:
+        config = load(text)
+        stated = (yaml.safe_load(text) or {}).get("scan") or {}
+    except Exception as e:  # noqa: BLE001  fail closed
+        return Allow(), [f"{name}: {e} -- nothing is allowed"]
+    ignored = ("sensitivity" in stated or "action" in stated) and (config.sensitivity, config.action) != (sensitivity, mode)
+    return config.allow, [f"{name}: scan.sensitivity and scan.action are ignored by the hook, only scan.allow is applied"] if ignored else []
+
+
+def default_hook_path() -> str | None:
+    """Where the hook's configuration is looked for; None without a home."""
+    home = os.environ.get("HOME")
+    return os.path.join(home, ".config", "palisade", "hook.yaml") if home else None
+
+
+def read_hook_allow(path: str | None = None, sensitivity: str = "medium", mode: str = "warn") -> tuple[Allow, list[str]]:
+    """hook_allow of a file of the driver; without a path, of the default one if it is there."""
+    if path is None:
+        path = default_hook_path()
+        if path is None or not os.path.exists(path):
+            return Allow(), []
     try:
-        return load(text).allow
-    except Exception:  # noqa: BLE001  fail closed
-        return Allow()
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
+    except (OSError, UnicodeDecodeError) as e:
+        return Allow(), [f"{path}: {e} -- nothing is allowed"]
+    return hook_allow(text, sensitivity, mode, path)
 
 
 def parse_duration(text: str) -> int | None:

@@ -6,26 +6,46 @@ All but the last return the columns of documents. Rows without a doc_id are neve
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from palisade.llm import decontam, langid, minhash, packing, suffix
 from palisade.llm._tokenize import tokenizer_path
 from palisade.llm._work import new_folder
 
 
+def _mark() -> Column:
+    """What tells texts of one doc_id apart."""
+    return F.when(F.col("text").isNotNull(), F.xxhash64("text"))
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of docs but those equal to a row of gone (doc_id, mark, and source if it has one); nulls are equal."""
+    keys = [c for c in ("doc_id", "mark", "source") if c in gone.columns]
+    left = {"doc_id": F.col("doc_id"), "mark": _mark(), "source": F.col("source")}
+    gone = gone.select(*[F.col(c).alias(f"gone_{c}") for c in keys]).distinct()
+    return docs.join(gone, reduce(and_, [left[c].eqNullSafe(F.col(f"gone_{c}")) for c in keys]), "left_anti")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go in which no language reaches half the posterior or that hold no letter or digit; the source is the host."""
+    """Texts go that no language fits or that hold no letter or digit; the source is the host. Each row is judged by its own text."""
     model = langid.train(docs)
     none = F.lit(None).cast("string")
-    rows = docs.select(F.col("doc_id").alias("id"), "text", F.col("source").alias("host"), none.alias("declared"), none.alias("suffix"))
-    rejected = langid.identify(rows, model).where("rejected").select(F.col("id").alias("doc_id"))
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    rows = docs.select(F.struct("doc_id", _mark().alias("mark"), "source").alias("id"), "text", F.col("source").alias("host"), none.alias("declared"), none.alias("suffix"))
+    return _without(docs, langid.identify(rows, model).where("rejected").select("id.*"))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays, and one row of it."""
-    gone = minhash.near_duplicates(docs, k=5, percent=80).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the text with the smallest doc_id stays, and one row of it.
+
+    Rows that share doc_id and text are one document; the smallest in the order of columns stays. Texts of one doc_id are judged each.
+    """
+    gone = minhash.near_duplicates(docs, k=5, percent=80).where("not kept and doc_id is not null").select("doc_id", "mark")
+    left = _without(docs, gone)
+    known = left.where("doc_id is not null").groupBy("doc_id", _mark().alias("mark_")).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return known.unionByName(left.where("doc_id is null"))
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,9 +12,11 @@ BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) an own one."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset in a local session (tests), an own one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="palisade-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
@@ -46,3 +48,17 @@ def bounded_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     """Rows of at most n keys, chosen by the keys' hash: the same keys whatever the partitioning. n bounds the broadcast."""
     ids = df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key), key).limit(n)
     return df.join(F.broadcast(ids), key, "left_semi")
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, by: str, total: int, how: str = "left") -> DataFrame:
+    """left joined by key with right, which has a row for each key and in n the number of left's `total` rows that have it.
+
+    A key with more rows than a quarter of a partition's share is split by the hash of left's column `by`, and right's row of it sent to
+    each split. There are at most 4 * partitions such keys, so their list is broadcast. Rows of left without a key are split too.
+    """
+    fair = 4 * partitions(left.sparkSession)
+    hot = F.broadcast(right.where(F.col("n") * fair > total).select(key, F.ceil(F.col("n") * fair / max(total, 1)).cast("int").alias("splits_")))
+    deal = F.pmod(F.xxhash64(by), F.when(F.col(key).isNull(), F.lit(fair)).otherwise(F.coalesce("splits_", F.lit(1))))
+    dealt = left.join(hot, key, "left").withColumn("split_", deal.cast("int")).drop("splits_")
+    copies = right.join(hot, key, "left").withColumn("split_", F.explode(F.sequence(F.lit(0), F.coalesce("splits_", F.lit(1)) - 1))).drop("splits_", "n")
+    return dealt.join(copies, [key, "split_"], how).drop("split_")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from palisade.llm._text import LOWER, NO_LETTER, SPACE, _cuts, view
-from palisade.llm._work import bounded_sample, cut, small_batches
+from palisade.llm._work import bounded_sample, cut, hot_join, small_batches
 
 GRAM_BUCKETS = 1 << 16
 #: Labelled texts that the 4-gram models are counted from at most, chosen by the hash of their id.
@@ -105,7 +105,7 @@ def identify(rows: DataFrame, model: GramModel, least: float = LEAST) -> DataFra
     has no letters or digits, if 4-grams drawn evenly explain it better than any language does, or if no language reaches the posterior `least`. A host's prior leaves out the row's own part.
     Ties go to the language that sorts first. Repeated rows are answered and counted each.
 
-    Group sums are partial aggregates, so a hot host is one row per task; its join is left to adaptive execution.
+    Group sums are partial aggregates, so a hot host is one row per task, and the join back splits it (hot_join).
     """
     small_batches(rows.sparkSession)
     langs, size = model.languages, len(model.languages)
@@ -130,13 +130,16 @@ def identify(rows: DataFrame, model: GramModel, least: float = LEAST) -> DataFra
     scored = scored.withColumn("domain", F.regexp_extract("host", r"([^.]+\.)?[^.]+$", 0))
     sums = [F.sum(F.col("p")[k]).alias(f"s{k}") for k in range(size)]
     arr = lambda name: F.array(*[F.col(f"s{k}") for k in range(size)]).alias(name)
-    by_host = scored.where("host is not null").groupBy("host").agg(*sums).select("host", arr("host_sum"))
-    by_domain = scored.where("host is not null").groupBy("domain").agg(*sums).select("domain", arr("domain_sum"))
+    n = F.count("*").alias("n")
+    by_host = scored.where("host is not null").groupBy("host").agg(n, *sums).select("host", "n", arr("host_sum"))
+    by_domain = scored.where("host is not null").groupBy("domain").agg(n, *sums).select("domain", "n", arr("domain_sum"))
     by_declared = scored.where("declared is not null").groupBy("declared").agg(*sums).select("declared", arr("declared_sum"))
-    by_suffix = scored.where("suffix is not null").groupBy("suffix").agg(*sums).select("suffix", arr("suffix_sum"))
+    by_suffix = scored.where("suffix is not null").groupBy("suffix").agg(n, *sums).select("suffix", "n", arr("suffix_sum"))
     whole = scored.agg(*[F.coalesce(s, F.lit(0.0)).alias(f"s{k}") for k, s in enumerate(sums)]).select(arr("whole"))
-    joined = scored.join(by_host, "host", "left").join(by_domain, "domain", "left").join(F.broadcast(by_declared), "declared", "left")  # declared: languages + 1 values
-    joined = joined.join(by_suffix, "suffix", "left").crossJoin(F.broadcast(whole))  # whole: one row
+    total = scored.count()
+    joined = scored.join(F.broadcast(by_declared), "declared", "left").crossJoin(F.broadcast(whole))  # declared: languages + 1 values; whole: one row
+    for groups, by in ((by_host, "host"), (by_domain, "domain"), (by_suffix, "suffix")):
+        joined = hot_join(joined, groups, by, "id", total)
 
     def cell(name: str, k: int) -> Column:
         return F.greatest(F.lit(0.0), F.coalesce(F.col(name)[k] - F.col("p")[k], F.lit(0.0)))

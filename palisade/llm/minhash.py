@@ -59,15 +59,16 @@ def _signed(docs: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["doc_id"],
+                    batch["mark"],
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(prints, pa.binary()),
                     pa.array([x.tobytes() for x in (sig & 255).astype(np.uint8)], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel())),
                 ],
-                ["doc_id", "n_shingles", "print", "sig", "keys"],
+                ["doc_id", "mark", "n_shingles", "print", "sig", "keys"],
             )
 
-    return docs.mapInArrow(work, "doc_id long, n_shingles long, print binary, sig binary, keys array<long>")
+    return docs.mapInArrow(work, "doc_id long, mark long, n_shingles long, print binary, sig binary, keys array<long>")
 
 
 def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -200,7 +201,7 @@ def _across(placed: DataFrame, few: DataFrame, percent: int, best_only: bool, gr
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs.
+    """(doc_id, n_shingles, component_id, kept) for every row of docs, and mark, the xxhash64 of its text (null without one).
 
     docs: doc_id, text (further columns are ignored). Two documents are linked if 100 * |A and B| >= percent * |A or B|
     for their sets of k-word shingles. component_id is the smallest doc_id reachable over links, kept tells whether it is
@@ -217,6 +218,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("mark", F.when(F.col("text").isNotNull(), F.xxhash64("text")))
     signed = cut(_signed(docs, k))
     reps = signed.where("print is not null and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("id"))
     sigs = cut(
@@ -240,5 +242,5 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             continue
         comps = cut(connected_components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found)))
     classes = reps.join(comps.withColumnRenamed("node", "id"), "id", "left").select("print", F.coalesce("component", "id").alias("component_id"))
-    out = signed.join(classes, "print", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = signed.join(classes, "print", "left").select("doc_id", "mark", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -43,7 +43,7 @@ def op6_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op7_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80).drop("mark")
 
 
 def op8_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,8 @@ LENGTH = 50
 ANCHOR, Q = 16, 8
 #: Window starts looked at together, and runs that a task holds before it sends them off.
 CHUNK, FLUSH = 1 << 19, 2_000_000
+#: Documents from which it is told which anchors are frequent, about.
+SAMPLE = 4096
 #: Groups into which a partition's bytes are dealt for refinement.
 FINE = 8
 _A, _B = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
@@ -52,8 +54,21 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def runs(b: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(row, start, count, anchor, whole) of all runs: `count` strings from byte `start` of a text on share an anchor; whole is a hash of all their bytes."""
+def _ends(low: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last strings of the runs of equal low."""
+    m = len(low)
+    first = valid[:m].copy()
+    first[1:] &= ~valid[: m - 1] | (low[1:] != low[:-1])
+    last = valid[:m].copy()
+    last[:-1] &= ~valid[1:m] | (low[1:] != low[:-1])
+    return np.flatnonzero(first), np.flatnonzero(last)
+
+
+def runs(b: np.ndarray, offsets: np.ndarray, length: int = LENGTH, hot: np.ndarray = np.zeros(0, np.uint64)) -> tuple[np.ndarray, ...]:
+    """(row, start, count, anchor, whole) of all runs: `count` strings from byte `start` of a text on share an anchor; whole is a hash of all their bytes.
+
+    A string whose anchor is in hot (ascending) has a hash of all its bytes for an anchor instead.
+    """
     out: list[tuple[np.ndarray, ...]] = []
     width = length - ANCHOR + 1
     up, down = _powers(CHUNK + 2 * length)
@@ -74,14 +89,16 @@ def runs(b: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.n
         ends = offsets[np.searchsorted(offsets, p, "right") : np.searchsorted(offsets, p + m + length, "right") + 1]
         for e in ends.tolist():  # no string across the end of a text
             valid[max(0, e - p - length + 1) : max(0, e - p)] = False
-        first = valid[:m].copy()
-        first[1:] &= ~valid[: m - 1] | (low[1:] != low[:-1])
-        last = valid[:m].copy()
-        last[:-1] &= ~valid[1:m] | (low[1:] != low[:-1])
-        s, e = np.flatnonzero(first), np.flatnonzero(last)
+        s, e = _ends(low, valid)
         if not len(s):
             continue
         total = np.cumsum(h * up[:n])
+        often = np.isin(low[s], hot) if len(hot) else np.zeros(0, bool)
+        if often.any():
+            size = e[often] - s[often] + 1
+            at = np.repeat(s[often] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            low[at] = mix((total[at + width - 1] - np.where(at > 0, total[at - 1], U64(0))) * down[at] + _B)
+            s, e = _ends(low, valid)
         whole = mix((total[e + width - 1] - np.where(s > 0, total[s - 1], U64(0))) * down[s])
         row = np.searchsorted(offsets, s + p, "right") - 1
         out.append((row, s + p - offsets[row], e - s + 1, low[s], whole))
@@ -167,7 +184,7 @@ def _by_bucket(kind: int, n_buckets: int, doc: np.ndarray, mark: np.ndarray, *ar
     """A row for each bucket of documents (by doc_id) with the items of all its documents, packed."""
     if not len(doc):
         return []
-    bucket = doc % n_buckets
+    bucket = (mix(doc.astype(np.uint64)) % U64(n_buckets)).astype(np.int64)
     order = np.lexsort((mark, doc, bucket))
     bucket = bucket[order]
     at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist() + [len(doc)]
@@ -221,10 +238,30 @@ def _settle(anchor, whole, doc, mark, start, count, final: bool):
     return order[covered], order[rest]
 
 
+def _hot_anchors(docs: DataFrame, length: int, n_parts: int) -> np.ndarray:
+    """Anchors with so many different runs in a sample of about SAMPLE documents that one partition would get several others' share.
+
+    At most 4 * n_parts of them. They only say where strings meet: any choice gives the same result.
+    """
+    m = max(1, docs.count() // SAMPLE)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, _, _, anchor, whole = runs(*view(batch["text"]), length)
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (anchor, whole)], ["anchor", "whole"])
+
+    sample = docs.where((F.pmod(F.xxhash64("doc_id"), F.lit(m)) == 0) & F.col("text").isNotNull()).select("text")
+    found = sample.mapInArrow(work, "anchor long, whole long").distinct().groupBy("anchor").agg(F.count("*").alias("n"))
+    total = found.agg(F.sum("n")).first()[0] or 0
+    rows = found.where(F.col("n") >= max(8, total / (4 * n_parts))).orderBy(F.desc("n"), "anchor").limit(4 * n_parts).collect()
+    return np.sort(np.array([r.anchor for r in rows], np.int64).view(np.uint64))
+
+
 def _covered(docs: DataFrame, length: int) -> DataFrame:
     """(doc_id, print, blobs) rows; the blobs have starts and counts of strings of a document that an earlier one has too."""
     spark = docs.sparkSession
     n_parts = partitions(spark)
+    hot = spark.sparkContext.broadcast(_hot_anchors(docs, length, n_parts))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -253,7 +290,7 @@ def _covered(docs: DataFrame, length: int) -> DataFrame:
             b, offsets = view(batch["text"])
             if not len(b):
                 continue
-            row, start, count, anchor, whole = runs(b, offsets, length)
+            row, start, count, anchor, whole = runs(b, offsets, length, hot.value)
             doc, mark = np.asarray(batch["doc_id"]), np.asarray(batch["print"])
             held.append((doc[row], mark[row], start.astype(np.uint32), count.astype(np.uint32), anchor, whole))
             size += len(row)
@@ -344,7 +381,8 @@ def _covered(docs: DataFrame, length: int) -> DataFrame:
         rows = _by_bucket(_COVERED, n_parts, d[f], mark[run[f]], start[run[f]] + inside[f], e - f + 1)
         return pa.Table.from_batches([_batch(rows)], _ROWS)
 
-    fetched = asked.join(docs, ["doc_id", "print"]).select("doc_id", "print", "blobs", "text").mapInArrow(fetch, _ROWS_SQL)
+    # with all columns of docs, as in remove_repeats: so both joins have docs from one exchange, and texts are shuffled once
+    fetched = asked.join(docs, ["doc_id", "print"]).select(*docs.columns, "blobs").mapInArrow(fetch, _ROWS_SQL)
     refined = fetched.groupBy("part").applyInArrow(compare, _ROWS_SQL)
     return _by_doc(met.where(f"kind = {_COVERED}").union(refined), n_parts, 2)
 

@@ -42,10 +42,9 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Rows that share doc_id and text are one document; the smallest in the order of columns stays. Texts of one doc_id are judged each.
     """
-    gone = minhash.near_duplicates(docs, k=5, percent=80).where("not kept and doc_id is not null").select("doc_id", "mark")
-    left = _without(docs, gone)
-    known = left.where("doc_id is not null").groupBy("doc_id", _mark().alias("mark_")).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return known.unionByName(left.where("doc_id is null"))
+    gone = minhash.near_duplicates(docs, k=5, percent=80).where("not kept and doc_id is not null").select("doc_id", F.col("mark").alias("mark_"))  # a null text is kept
+    known = docs.where("doc_id is not null").groupBy("doc_id", _mark().alias("mark_")).agg(F.min(F.struct(*docs.columns)).alias("row_"))
+    return known.join(gone, ["doc_id", "mark_"], "left_anti").select("row_.*").unionByName(docs.where("doc_id is null"))
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows that Arrow hands to a Python worker at once; texts can be long.
 BATCH_ROWS = 1000
+COLLECT_EVERY = 5.0
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,10 +29,23 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_collected = 0.0
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, where any executor can read it again."""
+    """df, computed once and kept in the shared folder, where any executor can read it again.
+
+    Executors delete the shuffle files behind it when the driver's JVM has collected their handles, which a driver with little to do may
+    not do for hours; so it is asked to, at most every COLLECT_EVERY seconds.
+    """
+    global _collected
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    del df
+    if time.monotonic() - _collected > COLLECT_EVERY:
+        out.sparkSession.sparkContext._jvm.System.gc()
+        _collected = time.monotonic()
+    return out
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from palisade.llm._work import cut, hot_join
+from palisade.llm._work import cut
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
@@ -13,7 +13,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     edges: columns a and b, of one orderable type. Nulls and loops are ignored, repeated edges count once, no edges
     give no rows. Each round points every node's larger neighbours (large-star), then its smaller ones (small-star),
     at the smallest it sees, until all edges are stars. Neighbour minima are partial aggregates, so a
-    hub costs one row per task in the aggregation, and the join back splits its edges (hot_join).
+    hub costs one row per task in the aggregation, and the join back is left to adaptive execution, which splits it.
     """
     e = (
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
@@ -21,14 +21,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         .distinct()
     )
     e = cut(e)
-    many = e.count()
     for _ in range(most_rounds):
         both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("m")).select("u", "n", F.least("u", "m").alias("m"))
-        large = hot_join(both, low, "u", "v", 2 * many, "inner").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("m"))
-        small = hot_join(large, low, "u", "v", many, "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        e = cut(small.union(low.select("u", "m")).distinct())
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        e = cut(small.union(low).distinct())
         # settled: every node points at one smaller node, and that at none
         many, ends = e.agg(F.count("*"), F.countDistinct("u")).first()
         if many == ends and e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():

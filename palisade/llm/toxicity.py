@@ -26,8 +26,10 @@ FACTORS, EPOCHS, RATE, DECAY = 6, 14, 0.08, 1e-4
 #: Chi-squared with the label from which a term is learned, and from which both terms of a pair are: that of the pair's texts
 #: against the rest of either term's. Others would only let single texts be learned by heart (all terms: recall 0.55 instead of 0.91 at sf0.1).
 ASSOCIATED, PAIRED = 12.0, 30.0
+#: Share of the rows in which a term stands that is looked at in pairs though it tells nothing alone.
+FREQUENT = 0.02
 #: Terms and rows of a block of pair counts.
-BLOCK = 256
+BLOCK, ROWS = 256, 1024
 
 
 def terms(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -73,12 +75,13 @@ def _chi2(k1: np.ndarray, n1: np.ndarray, k2: np.ndarray, n2: np.ndarray) -> np.
     return np.where((n1 > 0) & (n2 > 0) & (var > 0), gap * gap / np.where(var > 0, var, 1), 0)
 
 
-def paired(docs: list[np.ndarray], y: np.ndarray, df: np.ndarray, hit: np.ndarray) -> np.ndarray:
-    """Terms of all pairs whose texts differ in the label from the other texts of either term.
+def paired(docs: list[np.ndarray], y: np.ndarray, df: np.ndarray, hit: np.ndarray, tells: np.ndarray) -> np.ndarray:
+    """Terms of all pairs whose texts differ in the label from the other texts of either term; a pair and the rest of either term have MIN_TEXTS texts at least.
 
-    All pairs that can reach PAIRED are counted, block by block: a fourfold table's chi-squared is at most its number of texts.
+    Pairs are looked for among the terms that tell the label alone or stand in FREQUENT of the rows, and can reach PAIRED: a fourfold
+    table of n texts, k of them toxic, has a chi-squared of at most n * min(1, k / MIN_TEXTS, (n - k) / MIN_TEXTS). All of these pairs are counted, block by block.
     """
-    able = np.flatnonzero((df >= PAIRED) & (df < len(y)))
+    able = np.flatnonzero((df < len(y)) & (tells | (df >= FREQUENT * len(y))) & (df * np.minimum(MIN_TEXTS, np.minimum(hit, df - hit)) >= PAIRED * MIN_TEXTS))
     at = np.full(BUCKETS, -1, np.int32)
     at[able] = np.arange(len(able))
     idx = [i[i >= 0] for i in (at[d] for d in docs)]
@@ -86,18 +89,18 @@ def paired(docs: list[np.ndarray], y: np.ndarray, df: np.ndarray, hit: np.ndarra
     for a in range(0, len(able), BLOCK):
         b = min(a + BLOCK, len(able))
         both, toxic = np.zeros((2, b - a, len(able) - a), np.float32)
-        for r in range(0, len(idx), BLOCK):
-            rows = [i[np.searchsorted(i, a) :] - a for i in idx[r : r + BLOCK]]
+        for r in range(0, len(idx), ROWS):
+            rows = [i[np.searchsorted(i, a) :] - a for i in idx[r : r + ROWS]]
             x = np.zeros((len(rows), len(able) - a), np.float32)
             x[np.repeat(np.arange(len(rows)), [len(i) for i in rows]), np.concatenate(rows)] = 1
             both += x[:, : b - a].T @ x
-            mark = y[r : r + BLOCK] == 1
+            mark = y[r : r + ROWS] == 1
             toxic += x[mark, : b - a].T @ x[mark]
         ni, ki = n[a:b, None].astype(np.float32), k[a:b, None].astype(np.float32)
         gap = ni * toxic - ki * both  # a fourfold table's chi-squared against the rest of the row's term, without divisions
-        i, j = np.nonzero((both >= MIN_TEXTS) & (gap * gap * ni >= np.float32(0.99 * PAIRED) * ki * (ni - ki) * both * (ni - both)))
+        i, j = np.nonzero((both >= MIN_TEXTS) & (ni - both >= MIN_TEXTS) & (gap * gap * ni >= np.float32(0.99 * PAIRED) * ki * (ni - ki) * both * (ni - both)))
         m, t, i, j = both[i, j].astype(float), toxic[i, j].astype(float), i + a, j + a
-        tell = (_chi2(t, m, k[i] - t, n[i] - m) >= PAIRED) & (_chi2(t, m, k[j] - t, n[j] - m) >= PAIRED)
+        tell = (n[j] - m >= MIN_TEXTS) & (_chi2(t, m, k[i] - t, n[i] - m) >= PAIRED) & (_chi2(t, m, k[j] - t, n[j] - m) >= PAIRED)
         out[i[tell]] = out[j[tell]] = True
     return able[out]
 
@@ -113,7 +116,7 @@ def fit(docs: list[np.ndarray], y: np.ndarray, seed: int = 5) -> FactorizationMa
     rest, p = df - hit, df / len(y)
     gap = hit / y.sum() - rest / (len(y) - y.sum())
     tells = gap * gap >= ASSOCIATED * p * (1 - p) * (1 / y.sum() + 1 / (len(y) - y.sum()))
-    tells[paired(docs, y, df, hit)] = True
+    tells[paired(docs, y, df, hit, tells)] = True
     known = np.flatnonzero((df >= MIN_TEXTS) & tells & (p < 1))
     if not len(known):
         return none

@@ -1,9 +1,13 @@
 """URL filter: rules first, then a path-template tree with smoothed purity. DataFrame functions only.
 
 Paths are cut into segments. In each host a segment that varies is generalised into a wildcard: typed ones (numbers, hashes,
-dates, long slugs) at once, others where a branch point has many children of few pages each. Branches whose pages fall
-alike, as a two-proportion test tells, are merged into one template of the host. Each template's purity is its labelled
-share of blocked pages, smoothed towards the same template over all hosts, that towards the first segment's share and that towards the share of all.
+dates, long slugs) at once, others where a branch point has many children and half of them have few pages; a child with a large share
+of the point's pages stays. Sibling branches are merged whose subtrees go on alike (in kinds of segments) and whose labelled pages,
+over the whole subtree, fall alike, as a two-proportion test tells at any number of pages; a branch with too few labelled pages for the
+test stays as it is. Each template's purity is its labelled share of blocked pages, smoothed towards the same template over all
+hosts, that towards the same path with its typed marks alone over all hosts, that towards the share of the first segment and that towards the share of all.
+
+Marks of generalised segments begin with a question mark, which no path holds.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palisade.llm._work import cut
 
@@ -31,8 +35,10 @@ class Rule:
 RULES = (Rule("block", "net"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
 #: Strength of each level's prior, in pages; share of blocked pages from which a template is rejected.
 STRENGTH, REJECT = 8.0, 0.5
-#: A branch point with more children than this, of fewer pages on average than that, is a wildcard.
-CHILDREN, FEW = 12, 3.0
+#: A branch point with more children than this, half of which have fewer than FEW pages, is a wildcard but for children with a share of its pages above 1 / CHILDREN.
+CHILDREN, FEW = 12, 3
+#: Labelled pages that a branch has at least to be compared with its siblings; steps of the share of blocked pages by which siblings are ordered.
+EVIDENCE, STEPS = 5, 64
 #: Squared z below which two shares count as alike.
 ALIKE = 3.84
 
@@ -63,11 +69,11 @@ def apply_rules(host: Column, path: Column, rules=RULES) -> tuple[Column, Column
 
 def _typed(s: Column) -> Column:
     return (
-        F.when(s.rlike(r"^[0-9]+$"), F.lit("{number}"))
-        .when(s.rlike(r"^[0-9]{4}-[0-9]{2}(-[0-9]{2})?$"), F.lit("{date}"))
-        .when(s.rlike(r"^[0-9A-Fa-f-]{16,}$"), F.lit("{hash}"))
-        .when(s.rlike(r"^[0-9]+\.[A-Za-z]{2,5}$"), F.concat(F.lit("{number}."), F.regexp_extract(s, r"\.([A-Za-z]+)$", 1)))
-        .when(s.rlike(r"[0-9]{3,}") | (F.length(s) > 40), F.lit("{slug}"))
+        F.when(s.rlike(r"^[0-9]+$"), F.lit("?number"))
+        .when(s.rlike(r"^[0-9]{4}-[0-9]{2}(-[0-9]{2})?$"), F.lit("?date"))
+        .when(s.rlike(r"^[0-9A-Fa-f-]{16,}$"), F.lit("?hash"))
+        .when(s.rlike(r"^[0-9]+\.[A-Za-z]{2,5}$"), F.concat(F.lit("?number."), F.regexp_extract(s, r"\.([A-Za-z]+)$", 1)))
+        .when(s.rlike(r"[0-9]{3,}") | (F.length(s) > 40), F.lit("?slug"))
         .otherwise(s)
     )
 
@@ -114,29 +120,37 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
         if shapes.isEmpty():
             break
         here = shapes.withColumn("seg", F.coalesce(F.when(F.col("shape") != "", F.get(F.split("shape", "/"), F.lit(level))), F.lit("")))
-        kids = here.where("seg != ''").groupBy("host", "template", "seg").agg(F.sum("n").alias("kn"), F.sum("labelled").alias("kl"), F.sum("blocked").alias("kb"))
-        points = kids.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("kn").alias("pn"), F.sum("kl").alias("pl"), F.sum("kb").alias("pb"))
+        after = F.get(F.split("shape", "/"), F.lit(level + 1))
+        kind = F.when(after.isNull(), "").when(after.startswith("?"), after).otherwise("word")
+        kids = here.where("seg != ''").groupBy("host", "template", "seg").agg(F.sum("n").alias("kn"), F.sum("labelled").alias("kl"), F.sum("blocked").alias("kb"), F.array_join(F.sort_array(F.collect_set(kind)), ",").alias("goes_on"))
+        points = kids.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("kn").alias("pn"), F.percentile_approx("kn", 0.5).alias("median"))
         judged = kids.join(points, ["host", "template"])
-        literal = ~F.col("seg").startswith("{")
-        wild = literal & (F.col("children") > CHILDREN) & (F.col("pn") / F.col("children") < FEW)
-        merged = literal & (F.col("kn") < 3 * STRENGTH) & (F.col("children") > 2) & _alike(F.col("kb"), F.col("kl"), F.col("pb"), F.col("pl")) & (F.length("seg") > 3)
-        names = judged.select("host", "template", "seg", F.when(wild | merged, F.lit("*")).otherwise(F.col("seg")).alias("name"))
+        literal = ~F.col("seg").startswith("?")
+        wild = literal & (F.col("children") > CHILDREN) & (F.col("median") < FEW) & (F.col("kn") * CHILDREN <= F.col("pn"))
+        step = F.when(literal & ~wild & (F.col("kl") >= EVIDENCE), F.round(F.col("kb") * STEPS / F.col("kl")).cast("int"))
+        judged = judged.select("host", "template", "seg", "kl", "kb", "goes_on", wild.alias("wild"), step.alias("step"))
+        # siblings by steps of their share: at most STEPS + 1 rows a branch point and way to go on, each compared with the one before
+        place = ["host", "template", "goes_on"]
+        order = Window.partitionBy(*place).orderBy("step")
+        steps = judged.where("step is not null").groupBy(*place, "step").agg(F.count("*").alias("members"), F.sum("kl").alias("sl"), F.sum("kb").alias("sb"))
+        apart = ~_alike(F.col("sb"), F.col("sl"), F.lag("sb").over(order), F.lag("sl").over(order))
+        steps = steps.withColumn("apart", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("band", F.sum("apart").over(order))
+        bands = Window.partitionBy(*place, "band")
+        share = F.round(100 * F.sum("sb").over(bands) / F.sum("sl").over(bands)).cast("int").cast("string")
+        steps = steps.select(*place, "step", F.when(F.sum("members").over(bands) > 1, F.concat(F.lit("?like"), share)).alias("like"))
+        judged = judged.join(steps, [*place, "step"], "left")
+        names = judged.select("host", "template", "seg", F.when(F.col("wild"), F.lit("?any")).otherwise(F.coalesce("like", "seg")).alias("name"))
         here = here.join(names, ["host", "template", "seg"], "left")
         shapes = cut(here.select("host", "shape", "n", "labelled", "blocked", F.concat("template", F.coalesce(F.concat(F.lit("/"), F.col("name")), F.lit(""))).alias("template")))
         level += 1
     shapes = cut(reduce(DataFrame.unionByName, done))
-    first = F.concat(F.lit("/"), F.get(F.split("template", "/"), F.lit(1)))
-    shapes = shapes.withColumn("top", F.coalesce(first, F.lit("")))
-    own = shapes.groupBy("host", "template", "top").agg(F.sum("labelled").alias("l0"), F.sum("blocked").alias("b0"))
-    same = own.groupBy("template", "top").agg(F.sum("l0").alias("l1"), F.sum("b0").alias("b1"))
-    tops = same.groupBy("top").agg(F.sum("l1").alias("l2"), F.sum("b1").alias("b2"))
-    whole = tops.agg(F.sum("l2").alias("l3"), F.sum("b2").alias("b3"))
-    smooth = lambda b, n, prior: (F.col(b) + STRENGTH * prior) / (F.col(n) + STRENGTH)
-    root = (F.coalesce("b3", F.lit(0)) + 0.5) / (F.coalesce("l3", F.lit(0)) + 1.0)
-    scored = own.join(same, ["template", "top"]).join(tops, "top").join(F.broadcast(whole))  # whole is a single row
-    purity = smooth("b0", "l0", smooth("b1", "l1", smooth("b2", "l2", root)))
-    scored = scored.select("host", "template", F.round(purity, 6).alias("purity"))
-    known = shapes.select("host", "shape", "template").join(scored, ["host", "template"])
+    shapes = shapes.withColumn("top", F.get(F.split("shape", "/"), F.lit(0)))
+    share = lambda k, *by: shapes.groupBy(*by).agg(F.sum("labelled").alias(f"l{k}"), F.sum("blocked").alias(f"b{k}"))
+    whole = shapes.agg(F.sum("labelled").alias("l4"), F.sum("blocked").alias("b4"))
+    smooth = lambda k, prior: (F.col(f"b{k}") + STRENGTH * prior) / (F.col(f"l{k}") + STRENGTH)
+    root = (F.coalesce("b4", F.lit(0)) + 0.5) / (F.coalesce("l4", F.lit(0)) + 1.0)
+    scored = shapes.join(share(0, "host", "template"), ["host", "template"]).join(share(1, "template"), "template").join(share(2, "shape"), "shape").join(share(3, "top"), "top").join(F.broadcast(whole))  # whole is a single row
+    known = scored.select("host", "shape", "template", F.round(smooth(0, smooth(1, smooth(2, smooth(3, root)))), 6).alias("purity"))
     out = one.select("page_id", "host", "path", "rule", "by_rule", key.alias("shape")).join(known, ["host", "shape"])
     verdict = F.coalesce("by_rule", F.when(F.col("purity") >= REJECT, F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")

@@ -292,10 +292,95 @@ def test_urls(spark):
     for i, (url, rule, verdict) in urls.items():
         assert got[i].rule == rule and (verdict is None or got[i].verdict == verdict) and got[i].verdict in ("allow", "block")
     assert (got[6].host, got[6].path, got[10].host, got[10].path, got[3].path) == ("", "", "q.com", "", "/de/3")
-    assert got[500].verdict == "block" and got[501].verdict == "allow" and got[500].template == "/de/{number}"
+    assert got[500].verdict == "block" and got[501].verdict == "allow" and got[500].template == "/de/?number"
     assert urltree.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def _url_templates(pages, rules):
+    """Plain tree: (host, path) -> template."""
+    import re
+    from collections import defaultdict
+
+    def typed(x):
+        for rx, mark in ((r"[0-9]+", "?number"), (r"[0-9]{4}-[0-9]{2}(-[0-9]{2})?", "?date"), (r"[0-9A-Fa-f-]{16,}", "?hash")):
+            if re.fullmatch(rx, x):
+                return mark
+        if m := re.fullmatch(r"[0-9]+\.([A-Za-z]{2,5})", x):
+            return "?number." + m[1]
+        return "?slug" if re.search("[0-9]{3,}", x) or len(x) > 40 else x
+
+    def label(host, path):
+        fit = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        return max(fit, key=lambda r: len(r.name)).verdict if fit else None
+
+    count = defaultdict(lambda: [0, 0, 0])
+    for host, path in pages:
+        c, v = count[host, tuple(typed(x) for x in path.split("/") if x)], label(host, path)
+        c[0] += 1
+        c[1] += v is not None
+        c[2] += v == "block"
+    template = {}
+
+    def alike(k1, n1, k2, n2):
+        p = (k1 + k2) / (n1 + n2)
+        return (k1 / n1 - k2 / n2) ** 2 <= 3.84 * p * (1 - p) * (1 / n1 + 1 / n2)
+
+    def grow(host, prefix, shapes, level):
+        open_ = [s for s in shapes if len(s) > level] if len(shapes) > 2 else []
+        for s in shapes:
+            if s not in open_:
+                template[host, s] = prefix + "".join("/" + x for x in s[level:])
+        kids = defaultdict(list)
+        for s in open_:
+            kids[s[level]].append(s)
+        if not kids:
+            return
+        total = {x: [sum(count[host, s][k] for s in v) for k in range(3)] for x, v in kids.items()}
+        pages_here = sorted(t[0] for t in total.values())
+        varies = len(kids) > 12 and pages_here[(len(kids) + 1) // 2 - 1] < 3
+        name, steps = {}, defaultdict(lambda: defaultdict(list))
+        for x, (n, lab, b) in total.items():
+            name[x] = "?any" if varies and x[0] != "?" and n * 12 <= sum(pages_here) else x
+            if name[x] == x and x[0] != "?" and lab >= 5:
+                goes_on = ",".join(sorted({"" if len(s) <= level + 1 else s[level + 1] if s[level + 1][0] == "?" else "word" for s in kids[x]}))
+                steps[goes_on][int(64 * b / lab + 0.5)].append(x)
+        for by in steps.values():
+            bands, before = [], None
+            for step in sorted(by):
+                mine = [sum(total[x][2] for x in by[step]), sum(total[x][1] for x in by[step])]
+                if before and alike(*mine, *before):
+                    bands[-1].extend(by[step])
+                else:
+                    bands.append(list(by[step]))
+                before = mine
+            for band in bands:
+                if len(band) > 1:
+                    share = 100 * sum(total[x][2] for x in band) / sum(total[x][1] for x in band)
+                    name.update({x: f"?like{int(share + 0.5)}" for x in band})
+        below = defaultdict(list)
+        for x, v in kids.items():
+            below[prefix + "/" + name[x]] += v
+        for p, v in below.items():
+            grow(host, p, v, level + 1)
+
+    for host in {h for h, _ in count}:
+        grow(host, "", [s for h, s in count if h == host], 0)
+    return {(host, path): template[host, tuple(typed(x) for x in path.split("/") if x)] for host, path in pages}
+
+
+@pytest.mark.parametrize("names", [("de", "fr", "es", "en"), ("allem", "frank", "spani", "engli")])
+def test_urls_against_a_plain_tree(spark, names):
+    rng = random.Random(9)
+    rules = (urltree.Rule("block", "a.com"), urltree.Rule("allow", "a.com", f"/{names[3]}/"), urltree.Rule("block", "b.com", f"/{names[0]}/x/"), urltree.Rule("allow", "b.com", "/t/"))
+    paths = [(rng.choice(("a.com", "w.a.com", "b.com", "c.com")), "/" + "/".join([rng.choice((*names, "t")), *rng.choice((["x", f"{rng.randint(0, 400)}"], ["y", f"u{rng.randint(0, 90)}q"], [f"2024-0{rng.randint(1, 9)}"], ["{number}"], [])), *(["z"] * rng.randint(0, 2))])) for _ in range(3000)]
+    paths += [("a.com", ""), ("c.com", "/")]
+    want = _url_templates(paths, rules)
+    got = urltree.judge_urls(spark.createDataFrame([(i, f"http://{h}{p}") for i, (h, p) in enumerate(paths)], "page_id long, url string"), rules).collect()
+    assert len(got) == len(paths) and {(r.host, r.path): r.template for r in got} == want
+    marks = {w.strip("?0123456789") for t in want.values() for w in t.split("/") if w.startswith("?")}
+    assert {"any", "like", "number", "date"} <= marks and any("/{number}" in t for t in want.values())
+
+
 def test_urls_deep_paths(spark):
     rules = (urltree.Rule("block", "example.com", "/a/b/c/d/spam/"), urltree.Rule("allow", "example.com", "/a/b/c/d/news/"))
     data = [(100 * k + i, f"http://{host}/a/b/c/d/{kind}/e{i % 5}/f/g/{i}") for k, (host, kind) in enumerate((h, s) for h in ("example.com", "z.io") for s in ("spam", "news")) for i in range(60)]

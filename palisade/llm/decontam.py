@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -14,8 +15,8 @@ from palisade.llm._work import small_batches
 
 #: Words of a window.
 WINDOW = 13
-#: Bytes of benchmark text that one pass broadcasts at most; larger benchmarks take several passes.
-PASS_BYTES = 32 << 20
+#: Bytes of benchmark text that one pass broadcasts at most; larger benchmarks take several passes. Tables take some 70 bytes of memory a byte.
+PASS_BYTES = 4 << 20
 #: Keeps bytes of words, lower-cases A-Z and makes a space of any other ASCII byte.
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -34,23 +35,24 @@ class WuManber:
     """
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
-        patterns: dict[int, dict[tuple[bytes, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
-        for item, w in items:
-            if len(w) >= window:
-                for i in range(len(w) - window + 1):
-                    patterns[window][tuple(w[i : i + window])].add(item)
-            elif w:
-                patterns[len(w)][tuple(w)].add(item)
+        self.items = items
+        by_length: dict[int, list[tuple[int, int]]] = defaultdict(list)  # (item, start) of each window
+        for k, (_, w) in enumerate(items):
+            if w:
+                m = min(window, len(w))
+                by_length[m] += [(k, i) for i in range(len(w) - m + 1)]
         self.classes = []
-        for m, found in patterns.items():
+        for m, windows in by_length.items():
             size = min(2, m)
-            shift: dict = {}
-            bucket: dict = defaultdict(list)
-            for p, names in found.items():
+            shift: dict[int, int] = {}
+            bucket: dict[int, list[tuple[int, int]]] = defaultdict(list)
+            for k, start in windows:
+                w = items[k][1]
                 for j in range(size, m + 1):
-                    block = hash(p[j - size : j])
-                    shift[block] = min(shift.get(block, m), m - j)
-                bucket[hash(p[m - size :])].append((p, frozenset(names)))
+                    block = hash(tuple(w[start + j - size : start + j]))
+                    if shift.get(block, m) > m - j:
+                        shift[block] = m - j
+                bucket[hash(tuple(w[start + m - size : start + m]))].append((k, start))
             self.classes.append((m, size, shift, dict(bucket)))
 
     def find(self, w: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
@@ -65,20 +67,62 @@ class WuManber:
                 if step:
                     i += step
                     continue
-                here = tuple(w[i - m : i])
-                for p, names in bucket[block]:
-                    if p == here:
-                        spans.append((i - m, i))
-                        items |= names
+                here, hit = w[i - m : i], False
+                for k, start in bucket[block]:
+                    name, v = self.items[k]
+                    if v[start : start + m] == here:
+                        hit = True
+                        items.add(name)
+                if hit:
+                    spans.append((i - m, i))
                 i += 1
         return spans, items
 
 
+#: Broadcast, window and finder of this worker's last task.
+_LAST: list = [None, None, None]
+
+
+def _finder(shared, window: int) -> WuManber:
+    """Built once a worker, not once a task; a worker has one object for each broadcast."""
+    if _LAST[0] is not shared or _LAST[1] != window:
+        _LAST[:] = [None, None, None]
+        _LAST[:] = [shared, window, WuManber([(item, split_words(text)) for item, text in shared.value], window)]
+    return _LAST[2]
+
+
+def _passes(items: Iterator, window: int) -> Iterator[list[tuple[str, str]]]:
+    """Items by parts of at most PASS_BYTES (and one word); a larger item is cut into pieces that share window - 1 words."""
+    part: list[tuple[str, str]] = []
+    size = 0
+    for r in items:
+        texts = [r.text]
+        if len(r.text.encode("utf-8", "surrogatepass")) > PASS_BYTES:
+            w = [x.decode("utf-8", "surrogatepass") for x in split_words(r.text)]
+            if len(w) > window:
+                texts, at = [], 0
+                while at == 0 or at + window <= len(w):
+                    end, room = at + window, PASS_BYTES - sum(len(x.encode("utf-8", "surrogatepass")) + 1 for x in w[at : at + window])
+                    while end < len(w) and room > 0:
+                        room -= len(w[end].encode("utf-8", "surrogatepass")) + 1
+                        end += 1
+                    texts.append(" ".join(w[at:end]))
+                    at = end - window + 1
+        for text in texts:
+            more = len(text.encode("utf-8", "surrogatepass"))
+            if part and size + more > PASS_BYTES:
+                yield part
+                part, size = [], 0
+            part.append((r.item_id, text))
+            size += more
+    yield part
+
+
 def _search(docs: DataFrame, items: list[tuple[str, str]], window: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = WuManber([(item, split_words(text)) for item, text in shared.value], window)
+        finder = _finder(shared, window)
         for batch in batches:
             count, hits, names = [], [], []
             for text in batch["text"].to_pylist():
@@ -129,7 +173,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     docs: doc_id, text; benchmark: item_id, text (further columns are ignored). With keep, the rows of docs come along whole,
     as a struct named row. Null or wordless texts have no words
     and no hits; items without words have no windows; items without an id go by the empty string. Every row of docs is
-    answered, repeated ones each. The benchmark's size is measured first: as much as fits PASS_BYTES is broadcast and
+    answered, repeated ones each. A benchmark that fits PASS_BYTES is broadcast and
     searched in one pass without a shuffle; a larger one is cut into such parts, each searched in turn, and the
     word masks of a document are then united by its row.
     """
@@ -138,21 +182,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep else []
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *row)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
-    parts: list[list[tuple[str, str]]] = [[]]
-    size = 0
-    for r in items.toLocalIterator():
-        if size > PASS_BYTES:
-            parts.append([])
-            size = 0
-        parts[-1].append((r.item_id, r.text))
-        size += len(r.text)
-    if len(parts) == 1:
-        return _summary(_search(docs, parts[0], window), share)
+    passes = _passes(items.toLocalIterator(), window)  # the driver holds one part at a time
+    one, two = next(passes), next(passes, None)
+    if two is None:
+        return _summary(_search(docs, one, window), share)
     rows = docs.withColumn("row_", F.monotonically_increasing_id())
     found = None
-    for part in parts:
-        one = _search(rows, part, window)
-        found = one if found is None else found.unionByName(one)
+    for part in itertools.chain([one, two], passes):
+        hits = _search(rows, part, window)
+        found = hits if found is None else found.unionByName(hits)
 
     masks = F.collect_list("hits").alias("masks")
     whole = found.groupBy("row_").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), masks, F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), *([F.first("row").alias("row")] if keep else []))

@@ -97,6 +97,8 @@ def test_contamination(spark, docs, nothing):
         assert rows(decontam.find_contamination(docs, bench, keep=True), *names) == want
     finally:
         decontam.PASS_BYTES = small
+    twice = decontam.find_contamination(docs.union(docs.where("doc_id = 4").withColumn("doc_id", F.lit(None).cast("long"))).union(docs.where("doc_id = 4")), bench)
+    assert sorted((str(r.doc_id), r.n_hit) for r in twice.where("doc_id is null or doc_id = 4").collect()) == [("4", want[4][1]), ("4", want[4][1]), ("None", want[4][1])]
     assert decontam.find_contamination(nothing, bench).count() == 0
     assert not any(r.n_hit for r in decontam.find_contamination(docs, bench.limit(0)).collect())
 

@@ -7,6 +7,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from palisade.llm._work import keep
+
 #: Words kept with their ids in each worker; beyond it the cache starts anew, results stay the same.
 CACHE_WORDS = 400_000
 #: Longer words are encoded each time.
@@ -22,7 +24,8 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 @lru_cache(maxsize=1)
 def word_encoder(path: str) -> WordEncoder:
-    """This process' encoder, which a worker's tasks share."""
+    """This process' encoder, which a worker's tasks share until it turns to another operator."""
+    keep("tokenizer", word_encoder.cache_clear)
     return WordEncoder(path)
 
 

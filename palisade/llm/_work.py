@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import time
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows that Arrow hands to a Python worker at once; texts can be long.
@@ -55,6 +58,43 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+#: What this worker keeps between tasks, by operator, and how to let it go.
+_KEPT: dict[str, Callable[[], object]] = {}
+
+
+def keep(operator: str, release: Callable[[], object]) -> None:
+    _KEPT[operator] = release
+
+
+def _let_go(operator: str) -> None:
+    for name in [k for k in _KEPT if k != operator]:
+        _KEPT.pop(name)()
+
+
+def _tidy() -> None:
+    """Hand freed memory back to the system, so that a worker that waits for its next task does not hold it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(work: Callable[[Iterator], Iterator], operator: str = "") -> Callable[[Iterator], Iterator]:
+    """work for mapInArrow, in a worker that lets go what other operators keep, and of freed memory in the end."""
+
+    def run(batches):
+        from palisade.llm import _work  # this function travels by value; the module is the worker's own
+
+        _work._let_go(operator)
+        try:
+            yield from work(batches)
+        finally:
+            _work._tidy()
+
+    return run
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from palisade.llm._work import small_batches
+from palisade.llm._work import keep, lean, small_batches
 
 #: Words of a window.
 WINDOW = 13
@@ -87,6 +87,7 @@ def _finder(shared, window: int) -> WuManber:
     """Built once a worker, not once a task; a worker has one object for each broadcast."""
     if _LAST[0] is not shared or _LAST[1] != window:
         _LAST[:] = [None, None, None]
+        keep("decontam", lambda: _LAST.__setitem__(slice(None), [None, None, None]))
         _LAST[:] = [shared, window, WuManber([(item, split_words(text)) for item, text in shared.value], window)]
     return _LAST[2]
 
@@ -144,7 +145,7 @@ def _search(docs: DataFrame, items: list[tuple[str, str]], window: int) -> DataF
             )
 
     kept = ", ".join(f"`{k}` {t}" for k, t in docs.dtypes if k != "text")
-    return docs.mapInArrow(scan, f"{kept}, n_words long, hits binary, items array<string>")
+    return docs.mapInArrow(lean(scan, "decontam"), f"{kept}, n_words long, hits binary, items array<string>")
 
 
 def _summary(found: DataFrame, share: int = 20) -> DataFrame:

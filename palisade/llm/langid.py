@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from palisade.llm._text import LOWER, NO_LETTER, SPACE, _cuts, view
-from palisade.llm._work import bounded_sample, cut, hot_join, small_batches
+from palisade.llm._work import bounded_sample, cut, hot_join, lean, small_batches
 
 GRAM_BUCKETS = 1 << 16
 #: Labelled texts that the 4-gram models are counted from at most, chosen by the hash of their id.
@@ -78,7 +78,7 @@ def train(texts: DataFrame, rows: int = TRAIN_ROWS) -> GramModel:
             yield pa.RecordBatch.from_pydict({"lang": [lang], "n": [n.astype("<i4").tobytes()]})
 
     total: dict[str, np.ndarray] = {}
-    for r in sample.coalesce(8).mapInArrow(count, "lang string, n binary").collect():  # a row for each language and task of 8
+    for r in sample.coalesce(8).mapInArrow(lean(count), "lang string, n binary").collect():  # a row for each language and task of 8
         total[r.lang] = total.get(r.lang, 0) + np.frombuffer(r.n, "<i4").astype(np.int64)
     languages = sorted(total)
     if not languages:
@@ -125,7 +125,7 @@ def identify(rows: DataFrame, model: GramModel, least: float = LEAST) -> DataFra
             flat = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, size), pa.int32()), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([batch["id"], batch["host"], batch["declared"], batch["suffix"], flat(ll), flat(p), pa.array(letters), pa.array(none)], ["id", "host", "declared", "suffix", "ll", "p", "letters", "none"])
 
-    scored = cut(plain.mapInArrow(work, f"id {kind}, host string, declared string, suffix string, ll array<double>, p array<double>, letters long, none boolean"))
+    scored = cut(plain.mapInArrow(lean(work), f"id {kind}, host string, declared string, suffix string, ll array<double>, p array<double>, letters long, none boolean"))
     scored = scored.withColumn("p", F.when((F.col("letters") > 0) & ~F.col("none"), F.col("p")).otherwise(F.array(*[F.lit(0.0)] * size)))
     scored = scored.withColumn("domain", F.regexp_extract("host", r"([^.]+\.)?[^.]+$", 0))
     sums = [F.sum(F.col("p")[k]).alias(f"s{k}") for k in range(size)]

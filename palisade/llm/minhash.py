@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from palisade.llm._text import U64, mix, shingle_sets
-from palisade.llm._work import cut, partitions, small_batches
+from palisade.llm._work import cut, lean, partitions, small_batches
 from palisade.llm.components import connected_components
 
 #: Bands of minima; at a similarity of 0.8 a pair shares no band with probability (1 - 0.8**5)**32 < 4e-6.
@@ -68,7 +68,7 @@ def _signed(docs: DataFrame, k: int) -> DataFrame:
                 ["doc_id", "mark", "n_shingles", "print", "sig", "keys"],
             )
 
-    return docs.mapInArrow(work, "doc_id long, mark long, n_shingles long, print binary, sig binary, keys array<long>")
+    return docs.mapInArrow(lean(work), "doc_id long, mark long, n_shingles long, print binary, sig binary, keys array<long>")
 
 
 def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -101,7 +101,7 @@ def _screen(pairs: DataFrame, sigs: DataFrame, percent: int, groups: int) -> Dat
                 ok = _alike(x, y) >= least
                 yield _packed(np.asarray(batch["a"])[ok], np.asarray(batch["b"])[ok], groups)
 
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(work, _PAIRS)
+    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(lean(work), _PAIRS)
 
 
 def _confirm(packed: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -197,7 +197,7 @@ def _across(placed: DataFrame, few: DataFrame, percent: int, best_only: bool, gr
 
     # a fixed number of partitions: adaptive execution neither splits nor joins them, so a group stands in one
     dealt = dealt.repartition(n_parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(work, _PAIRS)
+    return dealt.mapInArrow(lean(work), _PAIRS)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from palisade.llm._tokenize import word_encoder
-from palisade.llm._work import cut, small_batches
+from palisade.llm._work import cut, lean, small_batches
 
 
 @dataclass(frozen=True)
@@ -212,7 +212,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, most: int = 4096, end_id: int
             cols = [pa.array(out["doc_id"], pa.int64()), pa.array(out["piece"], pa.int32()), *(pa.array(out[k], pa.int64()) for k in ("start", "length", "ids_crc32"))]
             yield pa.RecordBatch.from_arrays(cols + ([pa.array(out["ids"], pa.list_(pa.int32()))] if keep_ids else []), list(out)[: 6 if keep_ids else 5])
 
-    return docs.mapInArrow(work, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else ""))
+    return docs.mapInArrow(lean(work, "tokenizer"), "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else ""))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: Capacity = Capacity(), end_id: int = 1, keep_ids: bool = False, **how) -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from palisade.llm._work import cut, partitions, small_batches
+from palisade.llm._work import cut, lean, partitions, small_batches
 from palisade.llm.components import connected_components
 
 #: Reference points, drawn from a sample of about PIVOT_SAMPLE vectors; every vector is indexed.
@@ -94,7 +94,7 @@ def _indexed(rows: DataFrame, pivots, kind: str) -> DataFrame:
                 ["id", "label", "raw", "digest", "near", "lists"],
             )
 
-    return rows.mapInArrow(work, "id long, label long, raw binary, digest binary, near array<int>, lists array<long>")
+    return rows.mapInArrow(lean(work), "id long, label long, raw binary, digest binary, near array<int>, lists array<long>")
 
 
 def _first_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -191,7 +191,7 @@ def _found(classes: DataFrame, least: float, kind: str) -> DataFrame:
             yield from compare(pa.Table.from_batches(held))
 
     # a fixed number of partitions: adaptive execution neither splits nor joins them, so a group stands in one
-    return dealt.repartition(n_parts, *place).sortWithinPartitions(*place).mapInArrow(work, "id long, root long, far long")
+    return dealt.repartition(n_parts, *place).sortWithinPartitions(*place).mapInArrow(lean(work), "id long, root long, far long")
 
 
 def near_vectors(rows: DataFrame, least: float = 0.93) -> DataFrame:

@@ -22,13 +22,13 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from palisade.llm._text import U64, mix, view
-from palisade.llm._work import cut, partitions, small_batches
+from palisade.llm._work import cut, lean, partitions, small_batches
 
 LENGTH = 50
 #: Bytes of the sampled q-gram that runs go by, and of the first buckets of the refinement.
 ANCHOR, Q = 16, 8
 #: Window starts looked at together, and runs that a task holds before it sends them off.
-CHUNK, FLUSH = 1 << 19, 2_000_000
+CHUNK, FLUSH = 1 << 19, 1_000_000
 #: Documents from which it is told which anchors are frequent, about.
 SAMPLE = 4096
 #: Groups into which a partition's bytes are dealt for refinement.
@@ -251,7 +251,7 @@ def _hot_anchors(docs: DataFrame, length: int, n_parts: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (anchor, whole)], ["anchor", "whole"])
 
     sample = docs.where((F.pmod(F.xxhash64("doc_id"), F.lit(m)) == 0) & F.col("text").isNotNull()).select("text")
-    found = sample.mapInArrow(work, "anchor long, whole long").distinct().groupBy("anchor").agg(F.count("*").alias("n"))
+    found = sample.mapInArrow(lean(work), "anchor long, whole long").distinct().groupBy("anchor").agg(F.count("*").alias("n"))
     total = found.agg(F.sum("n")).first()[0] or 0
     rows = found.where(F.col("n") >= max(8, total / (4 * n_parts))).orderBy(F.desc("n"), "anchor").limit(4 * n_parts).collect()
     return np.sort(np.array([r.anchor for r in rows], np.int64).view(np.uint64))
@@ -325,7 +325,7 @@ def _covered(docs: DataFrame, length: int) -> DataFrame:
             yield _batch(rows[k : k + 4000])
 
     plain = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "print", "text")
-    met = cut(plain.mapInArrow(find, _ROWS_SQL).repartitionById(n_parts, "part").mapInArrow(meet, _ROWS_SQL))
+    met = cut(plain.mapInArrow(lean(find), _ROWS_SQL).repartitionById(n_parts, "part").mapInArrow(lean(meet), _ROWS_SQL))
     asked = _by_doc(met.where(f"kind = {_ASKED}"), n_parts, 3)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,7 +382,7 @@ def _covered(docs: DataFrame, length: int) -> DataFrame:
         return pa.Table.from_batches([_batch(rows)], _ROWS)
 
     # with all columns of docs, as in remove_repeats: so both joins have docs from one exchange, and texts are shuffled once
-    fetched = asked.join(docs, ["doc_id", "print"]).select(*docs.columns, "blobs").mapInArrow(fetch, _ROWS_SQL)
+    fetched = asked.join(docs, ["doc_id", "print"]).select(*docs.columns, "blobs").mapInArrow(lean(fetch), _ROWS_SQL)
     refined = fetched.groupBy("part").applyInArrow(compare, _ROWS_SQL)
     return _by_doc(met.where(f"kind = {_COVERED}").union(refined), n_parts, 2)
 
@@ -440,7 +440,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
     joined = known.join(covered, ["doc_id", "print"], "left").select(*named.columns, "blobs").union(unknown.select(*named.columns, F.lit(None).cast("array<binary>")))
     joined = joined.select("doc_id", "text", "extra" if others else F.lit(None).cast("string").alias("extra"), "blobs")
     kinds = dict(joined.dtypes)
-    out = joined.mapInArrow(drop, f"doc_id {kinds['doc_id']}, text string, extra {kinds['extra']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = joined.mapInArrow(lean(drop), f"doc_id {kinds['doc_id']}, text string, extra {kinds['extra']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     place = {c: F.col("extra").getField(c).alias(c) for c in others}
     return out.select(*(place.get(c, F.col(c)) for c in docs.columns if c not in own[2:]), *own[2:])
 

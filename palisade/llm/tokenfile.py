@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from palisade.llm._tokenize import word_encoder
-from palisade.llm._work import small_batches
+from palisade.llm._work import lean, small_batches
 
 MAGIC = b"PLZD0001"
 _FOOT = "<QQ"
@@ -150,7 +150,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 
     sorted_docs = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     shards, start = [], 0
-    for r in sorted(sorted_docs.mapInArrow(write, _WROTE).collect(), key=lambda r: r.task):  # a row per shard
+    for r in sorted(sorted_docs.mapInArrow(lean(write, "tokenizer"), _WROTE).collect(), key=lambda r: r.task):  # a row per shard
         shards.append({"shard": r.shard, "start": start, "n_docs": r.n_docs, "n_ids": r.n_ids, "first_id": r.first_id, "n_bytes": r.n_bytes})
         start += r.n_ids
     manifest = {"dictionary_xxh64": f"{_dictionary_hash(dictionary):016x}", "end_id": end_id, "n_ids": start, "shards": shards}

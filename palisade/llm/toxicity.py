@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from palisade.llm._text import NO_LETTER, words
-from palisade.llm._work import bounded_sample, small_batches
+from palisade.llm._work import bounded_sample, lean, small_batches
 
 #: Buckets of the terms' hash; lengths in bytes of the word beginnings that are terms as well.
 BUCKETS, BEGINNINGS = 1 << 20, (4, 5)
@@ -191,4 +191,4 @@ def score_toxicity(docs: DataFrame, machine: FactorizationMachine, threshold: fl
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(work, "doc_id long, score double, predicted int")
+    return plain.mapInArrow(lean(work), "doc_id long, score double, predicted int")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from palisade.llm._text import U64, mix, shingle_sets
-from palisade.llm._work import cut, lean, partitions, small_batches
+from palisade.llm._work import cut, hot_join, lean, partitions, small_batches
 from palisade.llm.components import connected_components
 
 #: Bands of minima; at a similarity of 0.8 a pair shares no band with probability (1 - 0.8**5)**32 < 4e-6.
@@ -220,9 +220,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("mark", F.when(F.col("text").isNotNull(), F.xxhash64("text")))
     signed = cut(_signed(docs, k))
-    reps = signed.where("print is not null and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("id"))
+    reps = signed.where("print is not null and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
     sigs = cut(
-        signed.join(reps.withColumnRenamed("id", "doc_id"), ["print", "doc_id"]).dropDuplicates(["print"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig", "keys", "print")
+        signed.join(reps.select("print", F.col("id").alias("doc_id")), ["print", "doc_id"]).dropDuplicates(["print"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig", "keys", "print")
     )
     bands = sigs.select("id", F.explode("keys").alias("key"))
     hubs = bands.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high")
@@ -241,6 +241,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         if found.isEmpty():
             continue
         comps = cut(connected_components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found)))
-    classes = reps.join(comps.withColumnRenamed("node", "id"), "id", "left").select("print", F.coalesce("component", "id").alias("component_id"))
-    out = signed.join(classes, "print", "left").select("doc_id", "mark", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    classes = reps.join(comps.withColumnRenamed("node", "id"), "id", "left").select("print", "n", F.coalesce("component", "id").alias("component_id"))
+    out = hot_join(signed.select("doc_id", "mark", "n_shingles", "print"), classes, "print", "doc_id", signed.count()).select("doc_id", "mark", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tests.llm import brute
 
 from palisade.llm import decontam, hpylm, langid, minhash, packing, pivots, suffix, tokenfile, toxicity, urltree
+from palisade.llm._text import mix
 from palisade.llm._tokenize import WordEncoder, tokenizer_path
 from palisade.llm._work import new_folder
 from palisade.llm.components import connected_components
@@ -192,16 +193,56 @@ def test_language_model(spark, nothing):
         assert abs(r.base_score - sum(np.log10((counts.get(w, 0) + 1) / (n + v + 1)) for w in toks(texts[i]))) < 1e-6
     held = [r for r in got.values() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
-    # probabilities of all words and the unknown class after one context sum to one
-    probe = [f"cat {w}" for w in counts if w] + ["cat", "cat neverseen"]
-    more = d.withColumn("train", F.expr("crc32(cast(cast(doc_id as string) as binary)) % 7 != 2")).union(spark.createDataFrame([(1000 + i, t, False) for i, t in enumerate(probe + ["", "neverseen"])], "doc_id long, text string, train boolean"))
-    out = {r.doc_id: r.score for r in hpylm.score_texts(more.select("doc_id", "text", "train"), F.col("train")).collect()}
-    first_cat = out[1000 + probe.index("cat")]  # log P(cat) + log P(end | cat)
-    ends = {w: out[1000 + i] for i, w in enumerate(probe)}
-    assert first_cat < 0 and all(x < 0 for x in ends.values())
     assert hpylm.score_texts(nothing).count() == 0
 
 
+def test_language_model_sums_to_one(spark):
+    # texts of one word each, so nearly all probability is on texts of at most three tokens; every unknown word has that of the class of all
+    words_, rng = ["a", "b", "c"], random.Random(4)
+    train = [rng.choice(["a", "a", "a", "b", "c"]) for _ in range(300)]
+    every = [()] + [(x,) for x in (*words_, "?")] + [(x, y) for x in (*words_, "?") for y in (*words_, "?")] + [(x, y, z) for x in (*words_, "?") for y in (*words_, "?") for z in (*words_, "?")]
+    rows_ = [(i, t, True) for i, t in enumerate(train)] + [(1000 + i, " ".join(t), False) for i, t in enumerate(every)]
+    out = hpylm.score_texts(spark.createDataFrame(rows_, "doc_id long, text string, train boolean"), F.col("train")).where("doc_id >= 1000").collect()
+    p = {every[r.doc_id - 1000]: 10**r.score for r in out}
+    assert 0.995 < sum(p.values()) <= 1 + 1e-9  # the rest is on longer texts
+    assert abs(p[("a",)] - train.count("a") / 300) < 0.02 and p[("?",)] < p[("c",)] < p[("a",)]
+
+
+def test_language_model_does_not_depend_on_partitions(spark):
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice(["the", "the", "of", f"w{int(rng.expovariate(0.1))}"]) for _ in range(60)) for _ in range(150)]
+    d = spark.createDataFrame([(i if i else None, t) for i, t in enumerate([*texts, texts[3], ""])], "doc_id long, text string")
+    extra = d.withColumn("train", F.lit("x")).withColumn("word", F.lit(1)).withColumn("part", F.lit("y"))
+    seen = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n, table in ((4, d), (7, extra.repartition(5)), (51, d.union(d.limit(0)).repartition(2))):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            seen.append({(r.doc_id, r.n_tokens, round(r.base_score, 6)): r.score for r in hpylm.score_texts(table).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0].keys() == seen[1].keys() == seen[2].keys() and len(seen[0]) > 140
+    assert all(abs(x[k] - seen[0][k]) < 1e-9 for x in seen[1:] for k in x)
+
+
+def test_seating():
+    # the conditional of the number of tables, by plain sums, and no jump where more customers are looked up otherwise
+    keys = mix(np.arange(1, 20001, dtype=np.uint64))
+    draw = lambda c, parent=0.2: hpylm.draw_tables(np.full(len(keys), c), np.full(len(keys), 5.0), np.full(len(keys), parent), 0.5, 2.0, keys, 1)
+    for c in (2, 7, 24, 25, 60):
+        s = np.exp(hpylm.log_stirling(0.5, c) - hpylm.log_stirling(0.5, c)[c].max())[c, 1:]
+        w = s * np.cumprod(0.2 * (2.0 + 0.5 * (4 + np.arange(c))))
+        assert abs(draw(c).mean() - (w * np.arange(1, c + 1)).sum() / w.sum()) < 0.05
+    means = [draw(c).mean() for c in (1000, 1024, 1056, 1200, 20000, 10**7)]
+    assert all(abs(a - b) < 0.1 for a, b in zip(means, means[1:3])) and means == sorted(means)
+    wide = draw(4000, 0.95)
+    assert 30 < wide.max() <= 512 and len(np.unique(wide)) > 5
+    assert (draw(100)[:9] == hpylm.draw_tables(np.full(9, 100), np.full(9, 5.0), np.full(9, 0.2), 0.5, 2.0, keys[:9], 1)).all()
+    far = hpylm.log_stirling(0.5, 1500)[1500, 1:200]
+    near = hpylm.stirling_rows(np.array([1500]), 0.5, 199)[0]
+    assert np.abs((near - near[0]) - (far - far[0])).max() < 0.3  # of numbers that span hundreds
+
+
 def test_language_model_keeps_contexts_apart(spark):
     # followers that the last word alone does not tell, but the last two do; and many last words that end alike
     n = 1500

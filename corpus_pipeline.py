@@ -26,7 +26,7 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     keys = [c for c in ("doc_id", "mark", "source") if c in gone.columns]
     left = {"doc_id": F.col("doc_id"), "mark": _mark(), "source": F.col("source")}
     gone = gone.select(*[F.col(c).alias(f"gone_{c}") for c in keys]).distinct()
-    return docs.join(gone, reduce(and_, [left[c].eqNullSafe(F.col(f"gone_{c}")) for c in keys]), "left_anti")
+    return docs.join(gone, reduce(and_, [left[c].eqNullSafe(gone[f"gone_{c}"]) for c in keys]), "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,8 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 bytes or more that an earlier document has go from the text; n_chars follows; no document goes."""
-    left = suffix.remove_repeats(docs, 50, keep_text=True)
+    others = F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")]).alias("others")  # whatever their names
+    left = suffix.remove_repeats(docs.select("doc_id", "text", others), 50, keep_text=True).select("doc_id", "text", "others.*")
     return left.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

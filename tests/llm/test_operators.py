@@ -440,3 +440,80 @@ def test_language_of_none(spark):
     d = spark.createDataFrame([(i, t, "a.com", None, None) for i, t in enumerate(texts)], "id long, text string, host string, declared string, suffix string")
     got = {r.id: (r.language, r.rejected) for r in langid.identify(d, langid.train(train)).collect()}
     assert [got[i] for i in range(len(texts))] == [(None, True)] * len(none) + [("en", False), ("de", False)] * 2
+
+
+def test_declared_language_and_visible_text(spark):
+    pages = {
+        '<html lang="EN-us"><body>one <b>two</b></body></html>': ("en", ["one", "two"]), "<HTML dir=ltr lang=de>drei<script>x = '<p>'</script> vier": ("de", ["drei", "vier"]),
+        "<p lang='fr'>un</p>": (None, ["un"]), "<html><style type=a>b{}</style>plain": (None, ["plain"]), "": (None, []), None: (None, None),
+    }
+    got = spark.createDataFrame([(k,) for k in pages], "h string").select("h", langid.declared_language(F.col("h")).alias("d"), langid.visible_text(F.col("h")).alias("v")).collect()
+    assert {r.h: (r.d, None if r.v is None else r.v.split()) for r in got} == pages
+
+
+def test_language_against_plain_sums(spark):
+    import math
+
+    import pyarrow as pa
+
+    en, de = "the cat and the dog were with them in the house", "der hund und die katze sind nicht hier im haus"
+    train = spark.createDataFrame([(i, (en, de)[i % 2], ("en", "de")[i % 2]) for i in range(200)], "doc_id long, text string, lang string")
+    m = langid.train(train)
+    rng = random.Random(12)
+    rows_ = [(i, rng.choice([en, de, "the der", "in im", "", None, "cat katze"]), rng.choice(["a.x.com", "b.x.com", "c.de", None]), rng.choice(["en", "de", "fr", None]), rng.choice(["com", "de", None])) for i in range(80)]
+    rows_.append(rows_[5])
+    got = sorted((r.id, r.language, r.posterior, r.rejected) for r in langid.identify(spark.createDataFrame(rows_, "id long, text string, host string, declared string, suffix string"), m).collect())
+    ll, letters, grams = m.log_likelihood(pa.array([r[1] for r in rows_], pa.string()))
+    fits = [n > 0 and x.max() >= -g * math.log(langid.GRAM_BUCKETS) for x, n, g in zip(ll, letters, grams)]
+    ll = langid.TEMPER * (ll - ll.max(axis=1, keepdims=True))
+    p = np.exp(ll) / np.exp(ll).sum(axis=1, keepdims=True) * np.array(fits)[:, None]
+    size = len(m.languages)
+    known = [d if d is None or d in m.languages else "other" for d in (r[3] for r in rows_)]
+    domain = [None if r[2] is None else ".".join(r[2].split(".")[-2:]) for r in rows_]
+    others = lambda i, of: sum((p[j] for j in range(len(rows_)) if of[i] is not None and of[j] == of[i]), np.zeros(size)) - (p[i] if of[i] is not None else 0)
+    want, whole = [], p.sum(axis=0)
+    for i, r in enumerate(rows_):
+        prior = (whole + 1) / (whole.sum() + size)
+        for of, strength in ((domain, langid.DOMAIN_STRENGTH), ([x[2] for x in rows_], langid.HOST_STRENGTH)):
+            s = np.maximum(others(i, of), 0)
+            prior = (s + strength * prior) / (s.sum() + strength)
+        logs = (ll[i] if letters[i] else np.zeros(size)) + np.log(prior)
+        for of, values in ((known, size + 1), ([x[4] for x in rows_], 50)):
+            if of[i] is not None:
+                logs = logs + np.log((np.maximum(others(i, of), 0) + 1) / (whole + values))
+        best = 1 / np.exp(logs - logs.max()).sum()
+        bad = not fits[i] or best < langid.LEAST
+        want.append((r[0], None if bad else m.languages[int(logs.argmax())], best, bad))
+    for a, b in zip(got, sorted(want)):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-5 and a[3] == b[3]
+
+
+def test_vectors_with_repeated_ids(spark):
+    one, two = [1.0] + [0.0] * 7, [0.0, 1.0] + [0.0] * 6
+    rows_ = [(1, one, 0, "x"), (1, two, 0, "x"), (2, one, 0, "x"), (3, two, 0, "x"), (3, two, 0, "x"), (None, one, 0, "x"), (4, one, 1, "x"), (5, [2.0] + [0.0] * 7, 0, "x")]
+    d = spark.createDataFrame(rows_, "vec_id long, embedding array<double>, label int, digest string").withColumn("near", F.lit(1)).withColumn("id", F.lit("i"))
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in pivots.near_vectors(d).collect()), key=str)
+    assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (3, 2, 1, False), (None, 0, None, True), (4, 0, 4, True), (5, 2, 1, False)], key=str)
+
+
+def test_toxicity_score_is_the_formula():
+    rng = np.random.default_rng(3)
+    known = np.array([3, 9, 20, 70])
+    m = toxicity.FactorizationMachine(-0.5, known, rng.normal(size=4), rng.normal(size=(4, 3)))
+    docs = [np.array([3, 9, 70, 500]), np.array([], int), np.array([20])]
+    got = m.score(np.concatenate(docs).astype(np.int64), np.array([len(x) for x in docs]), m.lookup())
+    for d, s in zip(docs, got):
+        at = [int(np.flatnonzero(known == x)[0]) for x in d if x in known]
+        z = -0.5 + sum(m.weight[i] for i in at) + sum(m.factor[i] @ m.factor[j] for a, i in enumerate(at) for j in at[a + 1 :])
+        assert abs(s - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_toxicity_of_exclusive_terms(spark):
+    # toxic with either word, not with both: neither tells anything alone
+    rng = random.Random(7)
+    data = [(i, f"{_words(rng, 8)} {'firstword' if i % 2 else ''} {'otherword' if (i // 2) % 2 else ''}", (i % 2) ^ ((i // 2) % 2)) for i in range(2000)]
+    d = spark.createDataFrame(data + [(0, "x y", 1)], "doc_id long, text string, toxic int").withColumn("score", F.lit("s")).withColumn("idx", F.lit(1))
+    m = toxicity.train(d, d.where(~toxicity.held_out(F.col("doc_id"))))
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(d, m).where("doc_id != 0").collect()}
+    held = [i for i, _, _ in data if i and zlib.crc32(str(i).encode()) % 4 == 2]
+    assert sum(got[i] == data[i][2] for i in held) >= 0.95 * len(held)

@@ -36,19 +36,21 @@ _collected = 0.0
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, where any executor can read it again.
-
-    Executors delete the shuffle files behind it when the driver's JVM has collected their handles, which a driver with little to do may
-    not do for hours; so it is asked to, at most every COLLECT_EVERY seconds.
-    """
-    global _collected
+    """df, computed once and kept in the shared folder, where any executor can read it again."""
     shared_dir(df.sparkSession)
     out = df.checkpoint(eager=True)
     del df
+    collect_garbage(out.sparkSession)
+    return out
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """After a result is written: executors delete the shuffle files behind it when the driver's JVM has collected their handles, which a
+    driver with little to do may not do for hours; so it is asked to, at most every COLLECT_EVERY seconds."""
+    global _collected
     if time.monotonic() - _collected > COLLECT_EVERY:
-        out.sparkSession.sparkContext._jvm.System.gc()
+        spark.sparkContext._jvm.System.gc()
         _collected = time.monotonic()
-    return out
 
 
 def small_batches(spark: SparkSession) -> None:

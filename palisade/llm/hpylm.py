@@ -5,7 +5,7 @@ last word alone, whose parent is the root, whose base gives each of the V known
 1 / (V + 1). Restaurants grow with the corpus as dishes (words) do, so everything but sums over hot restaurants is distributed.
 
 Seating. It starts with one table per dish. In each turn the number of tables of every dish is drawn by Gibbs from its conditional given the
-seating that the turn before left, over t = 1 .. c with generalised Stirling numbers (by their scaling law beyond EXACT customers).
+seating that the turn before left, over all t = 1 .. c, with generalised Stirling numbers (by a contour integral beyond EXACT customers).
 Tables are customers of the parent. All totals are refreshed after every turn. Dishes of a turn are drawn side by side, and the customers
 that tables bring to the parent's restaurant arrive there a turn later, as they may come from other partitions. Within each level customers,
 tables and totals are of one moment, so that each draw's predictive distribution sums to one; predictive probabilities are averaged over
@@ -32,6 +32,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 import zstandard
+from numpy.polynomial.chebyshev import chebvander
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -46,8 +47,8 @@ HOT_PART = 1 / 8
 ALONE, FIRST, OTHER = 0, 1, 2
 #: Kinds of blobs beside the levels 2, 1, 0: a part's dishes, its seating.
 DISHES, SEATING = 9, 8
-#: Most tables that one dish has in one restaurant; most customers for which Stirling numbers are exact.
-TABLES, EXACT = 512, 1024
+#: Most customers whose Stirling numbers are by recursion; most whose first ones are from one table; steps of a contour.
+EXACT, FAR, NODES = 1024, 1 << 40, 24
 #: Dishes of up to so many customers are drawn over all t at once; numbers held in one look.
 SMALL, CHUNK = 24, 1 << 20
 BURN_IN, DRAWS = 2, 3
@@ -215,25 +216,83 @@ def log_stirling(discount: float, n: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=3)
-def _stirling(discount: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logs of S(c, t), c up to EXACT and t up to TABLES; of 1 / (discount**(t - 1) * gamma(t)); and of what S(EXACT, t) has besides that factor, from t = 0 on."""
-    exact, t = log_stirling(discount, EXACT)[:, : TABLES + 1], np.arange(1, TABLES + 1)
-    factor = -(t - 1) * math.log(discount) - np.concatenate([[0.0], np.cumsum(np.log(t[:-1]))])
-    rest = exact[EXACT, 1:] - factor
-    return exact, factor, np.concatenate([[2 * rest[0] - rest[1]], rest])
+def _stirling(discount: float) -> np.ndarray:
+    return log_stirling(discount, EXACT)
 
 
-def stirling_rows(c: np.ndarray, discount: float, width: int) -> np.ndarray:
-    """Logs of S(c, t), t = 1 .. width, up to a constant for each c.
+def log_runs(c: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
+    """Logs of S(c, t) * discount**t * t! / c! for any 1 <= t < c.
 
-    Beyond EXACT by the law that S(c, t) * discount**(t - 1) * gamma(t) depends, but for a factor of c alone, on t / c**discount only.
+    That is the c-th coefficient of (1 - (1 - x)**discount)**t, here the contour integral over x = exp(-z) on a parabola through the
+    saddle point around the branch cut. Against the recursion it is right to 1e-8 up to a discount of 0.7 and to 0.002 up to 0.95 (0.004 where t > c - 4).
     """
-    exact, factor, rest = _stirling(discount)
-    out, far = exact[np.minimum(c, EXACT), 1 : width + 1], np.flatnonzero(c > EXACT)
+    c, t = np.broadcast_arrays(np.asarray(c, float), np.asarray(t, float))
+    log_y = lambda z: np.log(-np.expm1(-z))
+
+    def slope(z):
+        return discount * np.exp((discount - 1) * log_y(z) - z) / -np.expm1(discount * log_y(z))
+
+    low, high = np.full(c.shape, -60.0), np.full(c.shape, 3.4)
+    for _ in range(30):
+        mid = (low + high) / 2
+        right = t * slope(np.exp(mid)) > c
+        low, high = np.where(right, mid, low), np.where(right, high, mid)
+    z = np.exp(high)
+    flat = z * c < 6
+    z = np.where(flat, 6 / c, z)
+    curve = t * slope(z) * ((1 - discount) / np.expm1(z) + 1 - slope(z))
+    end = np.minimum(np.sqrt(40 / np.where(flat, c * z, np.minimum(2 * curve * z * z, c * z))), np.pi / (2 * z))
+    base, total = c * z + t * np.log(-np.expm1(discount * log_y(z))), np.zeros(c.shape)
+    for k in range(NODES + 1):
+        u = 1 + 1j * (k / NODES) * end
+        total += (np.exp(c * z * u * u + t * np.log(-np.expm1(discount * log_y(z * u * u))) - base) * u).real * (1 if k else 0.5)
+    return base + np.log(total * end * 2 * z / (np.pi * NODES))
+
+
+def _chebyshev(x: np.ndarray, low, high, n: int) -> np.ndarray:
+    return chebvander(2 * (x - low) / (high - low) - 1, n - 1)
+
+
+def _nodes(low: float, high: float, n: int) -> np.ndarray:
+    return (low + high) / 2 + (high - low) / 2 * np.cos(np.pi * (np.arange(n) + 0.5) / n)
+
+
+def _smooth(x: np.ndarray, low: float, high: float, f) -> np.ndarray:
+    """f at x, from few of its values between low and high."""
+    at = _nodes(low, high, 32)
+    return _chebyshev(x, low, high, 32) @ np.linalg.solve(_chebyshev(at, low, high, 32), f(at))
+
+
+@lru_cache(maxsize=16)
+def _surface(discount: float, width: int) -> np.ndarray:
+    """log_runs for t = 1 .. width < EXACT, by Chebyshev coefficients of the log of c, from EXACT to FAR."""
+    at_c, at_t = _nodes(math.log(EXACT), math.log(FAR), 64), _nodes(0, math.log(width), 32)
+    values = log_runs(np.exp(at_c)[:, None], np.exp(at_t), discount)
+    over_c = np.linalg.solve(_chebyshev(at_c, math.log(EXACT), math.log(FAR), 64), values)
+    over_t = np.linalg.solve(_chebyshev(at_t, 0, math.log(width), 32), over_c.T)
+    return over_t.T @ _chebyshev(np.log(np.arange(1, width + 1)), 0, math.log(width), 32).T
+
+
+def stirling_rows(c: np.ndarray, discount: float, width: int) -> np.ndarray:
+    """Logs of S(c, t), t = 1 .. width, up to a constant for each c; -inf for t > c. By log_runs beyond EXACT customers."""
+    exact, t = _stirling(discount), np.arange(1, width + 1)
+    out = np.full((len(c), width), -np.inf)
+    shown = min(width, EXACT)
+    out[:, :shown] = exact[np.minimum(c, EXACT), 1 : shown + 1]
+    far = np.flatnonzero(c > EXACT)
     if len(far):
-        t = np.arange(1, width + 1) * ((EXACT / c[far]) ** discount)[:, None]
-        low = np.minimum(t.astype(np.int64), TABLES - 1)
-        out[far] = factor[:width] + rest[low] + (t - low) * (rest[low + 1] - rest[low])
+        rest = -np.cumsum(np.log(t)) - t * math.log(discount)
+        if width < EXACT and c.max() <= FAR:
+            out[far] = _chebyshev(np.log(c[far]), math.log(EXACT), math.log(FAR), 64) @ _surface(discount, width) + rest
+        else:
+            kinds, slot = np.unique(c[far], return_inverse=True)
+            for k, x in enumerate(kinds.tolist()):
+                half, top, row = min(width, x // 2), min(width, x), np.full(width, -np.inf)
+                row[:half] = _smooth(np.log(t[:half]), 0, math.log(half), lambda u: log_runs(x, np.exp(u), discount))
+                row[half : min(top, x - 1)] = _smooth(np.log(x - t[half : min(top, x - 1)]), 0, math.log(x - half), lambda u: log_runs(x, x - np.exp(u), discount))
+                if top == x:
+                    row[x - 1] = x * math.log(discount)
+                out[far[slot == k]] = row + rest
     return out
 
 
@@ -246,8 +305,8 @@ def _uniform(keys: np.ndarray, turn: int, step: int = 0) -> np.ndarray:
 def draw_tables(c: np.ndarray, total: np.ndarray, parent: np.ndarray, discount: float, strength: float, keys: np.ndarray, turn: int) -> np.ndarray:
     """Numbers of tables drawn anew for dishes with c customers, given parent probabilities and their restaurants' tables (total, with one of this dish).
 
-    By the conditional S(c, t) * parent**t * product of strength + discount * (others + k), k < t, over t = 1 .. min(c, TABLES). Where
-    probability is left at the end of the first t, more of them are looked at.
+    By the conditional S(c, t) * parent**t * product of strength + discount * (others + k), k < t, over t = 1 .. c. Where
+    probability is left at the end of the first t, more of them are looked at, all c if need be.
     """
     new = np.minimum(c, 1).astype(np.int64)
     others, u = np.maximum(total - new, 0.0), _uniform(keys, turn)
@@ -258,15 +317,16 @@ def draw_tables(c: np.ndarray, total: np.ndarray, parent: np.ndarray, discount:
         todo, width = order[bounds[i] : bounds[i + 1]], size if size <= SMALL else 2 * SMALL
         while len(todo):
             more = []
-            for at in np.split(todo, range(CHUNK // width, len(todo), CHUNK // width)):
+            step = max(CHUNK // width, 1)
+            for at in np.split(todo, range(step, len(todo), step)):
                 t = np.arange(width)
                 weight = stirling_rows(c[at], discount, width) + np.cumsum(np.log(strength + discount * (others[at, None] + t)), axis=1) + (t + 1) * np.log(parent[at])[:, None]
                 weight -= weight.max(axis=1, keepdims=True)
                 p = np.exp(weight).cumsum(axis=1)
                 new[at] = 1 + (p < u[at, None] * p[:, -1:]).sum(axis=1)
-                if width < TABLES:
-                    more.append(at[(c[at] > width) & (weight[:, -1] > -35)])
-            todo, width = np.concatenate(more) if more else todo[:0], min(4 * width, TABLES)
+                more.append(at[(c[at] > width) & (weight[:, -1] > -35)])
+            todo = np.concatenate(more)
+            width = min(4 * width, int(c[todo].max(initial=0)))
     return new
 
 

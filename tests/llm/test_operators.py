@@ -243,6 +243,21 @@ def test_seating():
     assert np.abs((near - near[0]) - (far - far[0])).max() < 0.3  # of numbers that span hundreds
 
 
+def test_seating_over_all_tables():
+    # dishes that want more than 512 tables, of numbers of customers below and beyond those of the recursion
+    keys = mix(np.arange(1, 2001, dtype=np.uint64))
+    for c in (900, 2500):
+        s = hpylm.log_stirling(0.7, c)[c, 1:]
+        got = hpylm.stirling_rows(np.array([c]), 0.7, c)[0]
+        assert np.abs((got - got[0]) - (s - s[0])).max() < 0.01
+        t = np.arange(1, c + 1)
+        w = s + np.cumsum(np.log(0.9 * (2000 + 0.7 * (t - 1))))
+        p = np.exp(w - w.max())
+        drawn = hpylm.draw_tables(np.full(2000, c), np.full(2000, 1.0), np.full(2000, 0.9), 0.7, 2000.0, keys, 1)
+        assert abs(drawn.mean() - (p * t).sum() / p.sum()) < 2 and drawn.min() > 512
+    assert hpylm.draw_tables(np.full(9, 10**6), np.full(9, 1.0), np.full(9, 0.5), 0.8, 3000.0, keys[:9], 1).min() > 512
+
+
 def test_language_model_keeps_contexts_apart(spark):
     # followers that the last word alone does not tell, but the last two do; and many last words that end alike
     n = 1500

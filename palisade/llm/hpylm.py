@@ -22,31 +22,31 @@ Only sums over all restaurants and those of hot restaurants (at most 16 times th
 from __future__ import annotations
 
 import math
+import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import pyarrow.parquet as pq
 import zstandard
 from numpy.polynomial.chebyshev import chebvander
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from palisade.llm._text import U64, mix, words
-from palisade.llm._work import collect_garbage, cut, lean, new_folder, partitions, small_batches
+from palisade.llm._work import lean, new_folder, partitions, small_batches
 
 #: Tokens that a task packs at once.
-FLUSH = 3_000_000
+FLUSH = 5_000_000
 #: Words and contexts with more than this part of a partition's fair share of the tokens are hot; a routing choice without effect on results.
 HOT_PART = 1 / 8
 #: What the owners' answers call dishes that one partition holds alone, that it counts, and that another counts.
 ALONE, FIRST, OTHER = 0, 1, 2
-#: Kinds of blobs beside the levels 2, 1, 0: a part's dishes, its seating.
-DISHES, SEATING = 9, 8
+#: Partitions that share an owner of dishes; owners read a blob of each partition, so their number bounds that of small reads.
+PARTS_OWNED = 4
 #: Most customers whose Stirling numbers are by recursion; most whose first ones are from one table; steps of a contour.
 EXACT, FAR, NODES = 1024, 1 << 40, 24
 #: Dishes of up to so many customers are drawn over all t at once; numbers held in one look.
@@ -54,7 +54,7 @@ SMALL, CHUNK = 24, 1 << 20
 BURN_IN, DRAWS = 2, 3
 #: Strengths that are tried; each level takes the likeliest for what its restaurants hold.
 STRENGTHS = tuple(float(x) for x in np.geomspace(0.1, 3000, 16))
-END, BEGIN = U64(0x1F3D5B79A2C4E688), U64(0x2B7E151628AED2A6)
+SALT, END, BEGIN = U64(0x632BE59BD9B4E019), U64(0x1F3D5B79A2C4E688), U64(0x2B7E151628AED2A6)
 
 
 def in_training(doc_id: Column) -> Column:
@@ -62,22 +62,24 @@ def in_training(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 != 2, F.lit(True))
 
 
-def tokens(arr: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word, word before, word before that, row) of all tokens: each text's words, then one end."""
+def sequence(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Words of all texts, each text's followed by one end; the places of the ends."""
     h, _, counts = words(arr)
-    n, rows = len(h) + len(counts), np.repeat(np.arange(len(counts)), counts + 1)
     ends = np.cumsum(counts + 1) - 1
-    is_end = np.zeros(n, bool)
-    is_end[ends] = True
-    w = np.full(n, END)
-    w[~is_end] = h
+    w = np.full(len(h) + len(counts), END)
+    w[np.delete(np.arange(len(w)), ends)] = h
+    return w, ends
+
+
+def before(w: np.ndarray, ends: np.ndarray, begin) -> tuple[np.ndarray, np.ndarray]:
+    """The word before each of w, and that before it, within texts that end at ends; begin before their first ones."""
     starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else np.zeros(0, np.int64)
-    before, second = np.full(n, BEGIN), np.full(n, BEGIN)
-    before[1:] = w[:-1]
-    before[starts] = BEGIN
-    second[1:] = before[:-1]
-    second[starts] = BEGIN
-    return w, before, second, rows
+    first, second = np.full(len(w), begin, w.dtype), np.full(len(w), begin, w.dtype)
+    first[1:] = w[:-1]
+    first[starts] = begin
+    second[1:] = first[:-1]
+    second[starts] = begin
+    return first, second
 
 
 def context(second: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -92,12 +94,27 @@ def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
 
 
 def _plane(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() if len(x) else b""
+    """First bytes of all numbers, then second ones, and so on."""
+    x = np.ascontiguousarray(x).view(f"<u{x.itemsize}")
+    used = int(x.max(initial=0)).bit_length()
+    return b"".join((x >> x.dtype.type(8 * k)).astype(np.uint8).tobytes() if 8 * k < used else bytes(len(x)) for k in range(x.itemsize))
 
 
 def _unplane(raw: bytes, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel() if raw else np.zeros(0, kind)
+    unsigned = np.dtype(f"<u{np.dtype(kind).itemsize}")
+    n = len(raw) // unsigned.itemsize
+    out = np.zeros(n, unsigned)
+    for k in range(unsigned.itemsize):
+        plane = np.frombuffer(raw, np.uint8, n, k * n)
+        if plane.any():
+            out |= plane.astype(unsigned) << unsigned.type(8 * k)
+    return out.view(kind)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The different numbers, ascending."""
+    x = np.sort(x)
+    return x[np.flatnonzero(np.diff(x, prepend=x[:1] ^ x.dtype.type(1)))]
 
 
 def _hot(docs: DataFrame, n_parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,11 +124,11 @@ def _hot(docs: DataFrame, n_parts: int) -> tuple[np.ndarray, np.ndarray]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = (defaultdict(int), defaultdict(int)), 0
         for batch in batches:
-            _, before, second, _ = tokens(batch["text"])
-            n += len(before)
-            for kind, keys in enumerate((before, context(second, before))):
+            last, second = before(*sequence(batch["text"]), BEGIN)
+            n += len(last)
+            for kind, keys in enumerate((last, context(second, last))):
                 kinds, c = np.unique(keys, return_counts=True)
-                often = c * 4 >= share * max(len(before), 20000)
+                often = c * 4 >= share * max(len(last), 20000)
                 for k, v in zip(kinds[often].view(np.int64).tolist(), c[often].tolist()):
                     total[kind][k] += v
         rows = [(kind, k, v) for kind in (0, 1) for k, v in total[kind].items() if 2 * v >= share * n] + [(2, 0, n)]
@@ -132,8 +149,34 @@ def _place(keys: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return np.where(hot[at] == keys, at, -1)
 
 
-def _dealt(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], n_parts: int) -> DataFrame:
-    """Packed tokens by part: flush (which task and turn), part, n_docs, table (ids, which are null, training marks; with one part only), blob."""
+def _write(folder: str, name: str, blobs: list[bytes]) -> None:
+    """A file of blobs in the shared folder, whole or not there whatever becomes of the task."""
+    fs, root = pafs.FileSystem.from_uri(folder)
+    fs.create_dir(root, recursive=True)
+    own = f"{root}/{name}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(own) as f:
+        f.write(np.cumsum([8 * (len(blobs) + 1), *map(len, blobs)]).astype("<u8").tobytes())
+        f.write(b"".join(blobs))
+    fs.move(own, f"{root}/{name}")
+
+
+def _blob(folder: str, name: object, k: int = 0) -> bytes:
+    """The k-th blob of a file."""
+    fs, root = pafs.FileSystem.from_uri(folder)
+    with fs.open_input_file(f"{root}/{name}") as f:
+        start, stop = np.frombuffer(f.read_at(16, 8 * k), "<u8").tolist()
+        return f.read_at(stop - start, start) if stop > start else b""
+
+
+def _drop(*folders: str) -> None:
+    for folder in folders:
+        fs, root = pafs.FileSystem.from_uri(folder)
+        if fs.get_file_info(root).type == pafs.FileType.Directory:
+            fs.delete_dir(root)
+
+
+def _deal(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], n_parts: int, folder: str, tables: str) -> list[str]:
+    """Write packed tokens, a file a flush and a blob a part, and each flush's table (ids, which are null, training marks); the files' names."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,53 +184,71 @@ def _dealt(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], n_parts: int) ->
         squeeze = zstandard.ZstdCompressor(level=1)
         task, turn = TaskContext.get().partitionId(), 0
         held: list[tuple] = []
-        size = n_docs = 0
-
-        def flush():
-            nonlocal turn, held, size, n_docs
-            w, before, second, row = (np.concatenate([x[k] for x in held]) for k in range(4))
-            ids, train = [i for x in held for i in x[4]], np.concatenate([x[5] for x in held])
-            ctx, name = context(second, before), (task << 20) | turn
-            is_hot = _place(before, hot[0]) >= 0
-            both = is_hot & (_place(ctx, hot[1]) >= 0)
-            part = mix(np.where(both, ctx + mix(row.astype(np.uint64) + U64(name << 32)), np.where(is_hot, ctx, before)) + U64(0x632BE59BD9B4E019)) % U64(n_parts)
-            order = np.argsort(part.astype(np.uint32), kind="stable")
-            bounds = np.searchsorted(part[order], np.arange(n_parts + 1, dtype=np.uint64))
-            out = {"flush": [], "part": [], "n_docs": [], "table": [], "blob": []}
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal turn, held, size
+            w = np.concatenate([x[0] for x in held])
+            ends = np.concatenate([x[1] for x in held]) + np.repeat(np.cumsum([0, *(len(x[0]) for x in held[:-1])]), [len(x[1]) for x in held])
+            ids, train = [i for x in held for i in x[2]], np.concatenate([x[3] for x in held])
+            number, held, size = (task << 20) | turn, [], 0
+            row = np.repeat(np.arange(len(ends), dtype=np.uint32), np.diff(ends, prepend=-1))
+            # ids of words in the order of their hashes
+            coded = pa.array(w).dictionary_encode()
+            kinds, inner = np.asarray(coded.dictionary), np.asarray(coded.indices)
+            every = np.append(kinds, BEGIN)
+            order = np.argsort(every)
+            every, rank = every[order], np.empty(len(every), np.uint32)
+            rank[order] = np.arange(len(every))
+            w, begin = rank[inner], rank[-1]
+            del coded, inner
+            last, second = before(w, ends, begin)
+            part = (mix(every + SALT) % U64(n_parts)).astype(np.uint16 if n_parts <= 1 << 16 else np.uint32)[last]
+            at = np.flatnonzero((_place(every, hot[0]) >= 0)[last])
+            ctx = context(every[second[at]], every[last[at]])
+            spread = mix(row[at].astype(np.uint64) + U64(number << 32))
+            part[at] = mix(np.where(_place(ctx, hot[1]) >= 0, ctx + spread, ctx) + SALT) % U64(n_parts)
+            order = np.argsort(part, kind="stable")
+            bounds = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=n_parts))])
+            mark, place, out = np.zeros(len(every), bool), np.zeros(len(every), np.uint32), []
             for p in range(n_parts):
                 take = order[bounds[p] : bounds[p + 1]]
-                mine = p == name % n_parts
-                if not len(take) and not mine:
+                if not len(take):
+                    out.append(b"")
                     continue
-                kinds, inverse, often = np.unique(np.concatenate([w[take], before[take], second[take]]), return_inverse=True, return_counts=True)
-                rank = np.argsort(-often, kind="stable")
-                place = np.empty(len(rank), np.uint32)
-                place[rank] = np.arange(len(rank))
-                fields = [_plane(np.diff(kinds[rank], prepend=U64(0))), *(_plane(x.astype("<u4")) for x in place[inverse].reshape(3, -1)), _plane(np.diff(row[take], prepend=0).astype("<u4")), train[row[take]].astype(np.uint8).tobytes()]
-                raw = b"".join(len(f).to_bytes(4, "little") + f for f in fields)
-                out["flush"].append(name)
-                out["part"].append(p)
-                out["n_docs"].append(len(ids))
-                mask = np.array([i is None for i in ids], np.uint8)
-                table = np.array([i or 0 for i in ids], "<i8").tobytes() + mask.tobytes() + train.astype(np.uint8).tobytes()
-                out["table"].append(squeeze.compress(table) if mine else None)
-                out["blob"].append(squeeze.compress(raw))
-            turn, held, size, n_docs = turn + 1, [], 0, 0
-            return pa.RecordBatch.from_pydict(out, pa.schema([("flush", pa.int64()), ("part", pa.int32()), ("n_docs", pa.int32()), ("table", pa.binary()), ("blob", pa.binary())]))
+                mine = np.concatenate([w[take], last[take], second[take]])
+                if len(mine) * 32 < len(every):
+                    used = _distinct(mine)
+                else:
+                    mark[mine] = True
+                    used = np.flatnonzero(mark)
+                    mark[used] = False
+                # often used words first, equally often used ones in the order of their hashes
+                place[used] = np.arange(len(used))
+                often = np.bincount(place[mine], minlength=len(used))
+                used = used[np.argsort(64 - np.frexp(often)[1].astype(np.uint8), kind="stable")]
+                place[used] = np.arange(len(used))
+                rows = row[take]
+                fields = [_plane(np.diff(every[used], prepend=U64(0))), *(_plane(x) for x in place[mine].reshape(3, -1)), _plane(np.diff(rows, prepend=np.uint32(0))), train[rows].tobytes()]
+                out.append(squeeze.compress(b"".join(len(f).to_bytes(4, "little") + f for f in fields)))
+            name = f"{task:06d}-{turn:06d}-{uuid.uuid4().hex}"
+            turn += 1
+            table = np.array([i or 0 for i in ids], "<i8").tobytes() + np.array([i is None for i in ids], np.uint8).tobytes() + train.tobytes()
+            _write(folder, name, out)
+            _write(tables, name, [squeeze.compress(table)])
+            return pa.RecordBatch.from_pydict({"name": [name]})
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            w, before, second, row = tokens(batch["text"])
-            held.append((w, before, second, (row + n_docs).astype(np.uint32), batch["doc_id"].to_pylist(), np.array(batch["train"].to_pylist(), bool)))
-            size += len(w)
-            n_docs += batch.num_rows
+            held.append((*sequence(batch["text"]), batch["doc_id"].to_pylist(), np.array(batch["train"].to_pylist(), np.uint8)))
+            size += len(held[-1][0])
             if size >= FLUSH:
                 yield flush()
         if held:
             yield flush()
 
-    return docs.mapInArrow(lean(pack), "flush long, part int, n_docs int, table binary, blob binary")
+    return sorted(r.name for r in docs.mapInArrow(lean(pack), "name string").collect())
 
 
 def likeliest_strength(customers: np.ndarray, tables: np.ndarray, discount: float, often: np.ndarray | None = None) -> float:
@@ -392,45 +453,75 @@ def _sum_hot(own: np.ndarray, place: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return np.where(place >= 0, hot[place], own) if len(hot) else own
 
 
+def _dense(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different ones of numbers under size, ascending, and the places of all among them."""
+    kinds = np.flatnonzero(np.bincount(x, minlength=size))
+    place = np.zeros(size, np.uint32)
+    place[kinds] = np.arange(len(kinds))
+    return kinds, place[x]
+
+
 class _Part:
-    """The tokens of one partition and the dishes they are."""
+    """The tokens of one partition and the dishes they are, in the order of (word before, word, word before that)."""
 
-    def __init__(self, rows: list[tuple], hot: tuple[np.ndarray, np.ndarray]):
+    def __init__(self, blobs: list[bytes], hot: tuple[np.ndarray, np.ndarray], places: bool = False):
+        """blobs: one a flush. places: which dish each token is (token), its row in the flush (row) and each flush's tokens (flushes) are kept."""
         open_ = zstandard.ZstdDecompressor()
-        kinds, places, train, doc, self.flushes, base, n = [], [], [], [], [], 0, 0
-        for flush, n_docs, table, blob in rows:
-            raw = open_.decompress(blob)
-            at, fields = 0, []
-            for _ in range(6):
+        read, self.flushes, n = [], [], 0
+        for blob in blobs:
+            raw, fields, at = open_.decompress(blob) if blob else b"", [], 0
+            for _ in range(6 if raw else 0):
                 size = int.from_bytes(raw[at : at + 4], "little")
                 fields.append(raw[at + 4 : at + 4 + size])
                 at += 4 + size
-            row = np.cumsum(_unplane(fields[4], "<u4"), dtype=np.int64)
-            kinds.append(np.cumsum(_unplane(fields[0], "<u8"), dtype=np.uint64))
-            places.append([_unplane(f, "<u4") for f in fields[1:4]])
-            train.append(np.frombuffer(fields[5], np.uint8).astype(bool))
-            doc.append(row + base)
-            self.flushes.append((flush, base, n_docs, table, slice(n, n + len(row))))
-            base, n = base + n_docs, n + len(row)
-        every = np.unique(np.concatenate(kinds))
-        at = [np.searchsorted(every, k) for k in kinds]
-        word, before, second = (np.concatenate([a[p[k]] for a, p in zip(at, places)]).astype(np.int64) for k in range(3))
-        train, self.doc = np.concatenate(train), np.concatenate(doc)
-        # restaurants of two words and of one
-        pair, some, ctx = np.unique(second * len(every) + before, return_index=True, return_inverse=True)
-        rest1, last = np.unique(before, return_inverse=True)
-        own, word = np.unique(word, return_inverse=True)
-        self.rest2 = context(every[pair // max(len(every), 1)], every[pair % max(len(every), 1)])
-        self.rest1, self.words, n2, n1 = every[rest1], every[own], len(pair), len(rest1)
+            if raw:
+                kinds = np.cumsum(_unplane(fields[0], "<u8"), dtype=np.uint64)
+                read.append((kinds, *(_unplane(f, "<u4") for f in fields[1:5]), np.frombuffer(fields[5], np.uint8)))
+            self.flushes.append(slice(n, n := n + len(fields[5] if raw else b"")))
+        every = _distinct(np.concatenate([r[0] for r in read])) if read else np.zeros(0, U64)
+        at = [np.searchsorted(every, r[0]).astype(np.uint32) for r in read]
+        word, last, second = (np.concatenate([a[r[k]] for a, r in zip(at, read)]) if read else np.zeros(0, np.uint32) for k in (1, 2, 3))
+        train = np.concatenate([r[5] for r in read]) if read else np.zeros(0, np.uint8)
+        if places:
+            self.row = np.concatenate([np.cumsum(r[4], dtype=np.int64) for r in read]) if read else np.zeros(0, np.int64)
+        del read, at
+        size = len(every)
+        (rest1, last), (own, word) = _dense(last, size), _dense(word, size)
         # dish of two words (2), of one (1), of the root (0); each level's dishes point at their parents'
-        key, self.token = np.unique(word * n2 + ctx, return_inverse=True)
-        self.ctx2 = key % max(n2, 1)
-        key, self.up2 = np.unique(key // max(n2, 1) * n1 + last[some][self.ctx2], return_inverse=True)
-        self.ctx1, self.up1 = key % max(n1, 1), key // max(n1, 1)
-        self.hot1 = _place(self.rest1, hot[0])
-        self.hot2 = np.where(self.hot1[last[some]] >= 0, _place(self.rest2, hot[1]), -1)
+        n0, pairs = len(own), None
+        key = last.astype(np.int64) * n0 + word
+        if len(rest1) * n0 * size >= 1 << 62:
+            pairs, key = np.unique(key, return_inverse=True)
+        key = key * size + second
+        del last, word, second
+        if places:
+            order = np.argsort(key)
+            key, train = key[order], train[order]
+        else:
+            key = np.sort(key * 2 + train)
+            key, train = key >> 1, (key & 1).astype(np.uint8)
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        first = np.flatnonzero(new)
+        if places:
+            self.token = np.empty(len(key), np.int64)
+            self.token[order] = np.cumsum(new) - 1
         # training tokens, of this partition
-        self.c2 = np.bincount(self.token[train], minlength=len(self.ctx2))
+        total = np.concatenate([[0], np.cumsum(train, dtype=np.int64)])
+        self.c2 = np.diff(total[np.append(first, len(key))])
+        pair, second = key[first] // max(size, 1), key[first] % max(size, 1)
+        new = np.ones(len(pair), bool)
+        new[1:] = pair[1:] != pair[:-1]
+        first, self.up2 = np.flatnonzero(new), np.cumsum(new) - 1
+        pair = pair[first] if pairs is None else pairs[pair[first]]
+        self.ctx1, self.up1 = pair // max(n0, 1), pair % max(n0, 1)
+        # restaurants of two words and of one
+        ctx, self.ctx2 = np.unique(self.ctx1[self.up2] * size + second, return_inverse=True)
+        last = ctx // max(size, 1)
+        self.rest1, self.words = every[rest1], every[own]
+        self.rest2 = context(every[ctx % max(size, 1)], self.rest1[last])
+        self.hot1 = _place(self.rest1, hot[0])
+        self.hot2 = np.where(self.hot1[last] >= 0, _place(self.rest2, hot[1]), -1)
         self.freq1 = np.bincount(self.up2, self.c2, len(self.ctx1)).astype(np.int64)
         self.freq0 = np.bincount(self.up1, self.freq1, len(self.words)).astype(np.int64)
         # dishes whose tables are drawn, or that others may hold as well
@@ -454,7 +545,7 @@ class _Part:
     def lone(self) -> list[tuple]:
         """Sums of what _Dishes leaves out: dishes of one customer, and restaurants that have no others."""
         out = [("once2", int((self.c2[~self.in2] == 1).sum())), ("once1", int((self.freq1[~self.in1] == 1).sum()))]
-        items = [(k, 0, [0], [n], [0]) for k, n in out]
+        items = [(k, [0], [n], [0]) for k, n in out]
         for level, at, drawn, c, n in ((2, self.ctx2, self.in2, self.c2, len(self.rest2)), (1, self.ctx1, self.in1, self.freq1, len(self.rest1))):
             has = np.zeros(n, bool)
             has[at[drawn]] = True
@@ -466,7 +557,7 @@ class _Part:
 def _histogram(level: int, c: np.ndarray, t: np.ndarray) -> tuple:
     """How many restaurants have so many customers and tables."""
     pairs, often = np.unique((_rounded(c) << 31 | _rounded(t))[c > 0], return_counts=True)
-    return f"held{level}", 0, pairs, often, np.zeros(len(pairs))
+    return f"held{level}", pairs, often, np.zeros(len(pairs))
 
 
 class _Dishes:
@@ -479,7 +570,7 @@ class _Dishes:
         self.key0 = mix(self.words + U64(0x5851F42D4C957F2D))
         self.shared1, self.shared2 = np.flatnonzero(self.hot1[self.x1] >= 0), np.flatnonzero(self.hot2[self.x2] >= 0)
         self.shared1, self.shared2 = self.shared1[np.argsort(self.key1[self.shared1])], self.shared2[np.argsort(self.key2[self.shared2])]
-        if answers:
+        if answers is not None:
             empty = (np.zeros(0, np.int64), [np.zeros(0, np.int64)] * 2)
             (_, (all2, flag2)), (slot1, (all1, flag1)), (slot0, (all0, flag0)) = (answers.get(k, empty) for k in (2, 1, 0))
             self.c2[self.shared2], self.freq1[self.shared1], self.freq0 = all2, all1, all0
@@ -533,61 +624,30 @@ class _Dishes:
     def sums(self, first: bool) -> list[tuple]:
         """For the driver: totals of the root and of hot restaurants. At first all parts' own customers are summed, later each dish's once."""
         one = lambda x, count: x if first else x * count
-        items = [("root", 0, [0], [int(one(self.c0, self.count0).sum())], [int((self.t0 * self.count0).sum())])]
+        items = [("root", [0], [int(one(self.c0, self.count0).sum())], [int((self.t0 * self.count0).sum())])]
         for level, hot, x, c, t, n in ((1, self.hot1, self.x1, one(self.c1, self.count1), self.t1 * self.count1, len(self.rest1)), (2, self.hot2, self.x2, self.c2 * self.count2, self.t2 * self.count2, len(self.rest2))):
             at = np.flatnonzero(hot >= 0)
-            items.append((f"hot{level}", 0, hot[at], np.bincount(x, c, n)[at], np.bincount(x, t, n)[at]))
+            items.append((f"hot{level}", hot[at], np.bincount(x, c, n)[at], np.bincount(x, t, n)[at]))
         return items
 
     def statistics(self) -> list[tuple]:
         """For discounts and strengths, at first: numbers of dishes of one and two customers and the histogram of restaurants, but for what owners know."""
         known1, known0 = np.ones(len(self.c1), bool), np.ones(len(self.c0), bool)
         known1[self.ask1] = known0[self.ask0] = False
-        items = [(f"once{k}", 0, [0], [int((c == 1).sum())], [int((c == 2).sum())]) for k, c in ((2, self.c2[self.count2]), (1, self.c1[known1]), (0, self.c0[known0]))]
+        items = [(f"once{k}", [0], [int((c == 1).sum())], [int((c == 2).sum())]) for k, c in ((2, self.c2[self.count2]), (1, self.c1[known1]), (0, self.c0[known0]))]
         for level, hot, f, x, c, t, n in ((1, self.hot1, self.fr1, self.x1, self.c1, self.t1, len(self.rest1)), (2, self.hot2, self.f2, self.x2, self.c2, self.t2, len(self.rest2))):
             c, t = ((f + np.bincount(x, y, n)).astype(np.int64)[hot < 0] for y in (c, t))
             items.append(_histogram(level, c, t))
-        return [*items, ("size", 0, [0], [int((self.freq0 * self.count0).sum())], [int(((self.freq0 > 0) & self.count0).sum())])]
+        return [*items, ("size", [0], [int((self.freq0 * self.count0).sum())], [int(((self.freq0 > 0) & self.count0).sum())])]
 
 
-def _each_part(work):
-    """A mapInArrow function that gives work all rows of the partition's part at once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, part = [], -1
-        for batch in batches:
-            for f, p, n, t, b in zip(*(batch[k].to_pylist() for k in ("flush", "part", "n_docs", "table", "blob"))):
-                rows.append((f, n, t, b))
-                part = p
-        if rows:
-            rows.sort(key=lambda r: r[0])
-            yield from work(rows, part)
+_SUMS = "kind string, ctx long, a double, b double"
 
-    return run
 
-
-_SUMS = "kind string, draw int, ctx long, a double, b double"
-_SHARES = _SUMS + ", part int, owner int, level int, blob binary"
-_SHARES_ARROW = pa.schema(
-    [("kind", pa.string()), ("draw", pa.int32()), ("ctx", pa.int64()), ("a", pa.float64()), ("b", pa.float64()), ("part", pa.int32()), ("owner", pa.int32()), ("level", pa.int32()), ("blob", pa.binary())]
-)
-
-
-def _sum_rows(items: list[tuple[str, int, np.ndarray, np.ndarray, np.ndarray]], part: int) -> pa.RecordBatch:
-    kind = [x[0] for x in items for _ in range(len(x[2]))]
-    draw = [x[1] for x in items for _ in range(len(x[2]))]
-    ctx, a, b = (np.concatenate([np.asarray(x[k], kind_) for x in items]) for k, kind_ in ((2, np.int64), (3, float), (4, float)))
-    n = len(kind)
-    columns = [pa.array(kind, pa.string()), pa.array(draw, pa.int32()), pa.array(ctx), pa.array(a), pa.array(b)]
-    columns += [pa.array(np.full(n, part, np.int32))] * 2 + [pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, schema=_SHARES_ARROW)
-
-
-def _shares(blobs: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-    """Rows of (part, owner, level, blob)."""
-    n = len(blobs)
-    columns = [pa.nulls(n, f.type) for f in list(_SHARES_ARROW)[:5]] + [pa.array([x[k] for x in blobs], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary()))]
-    return pa.RecordBatch.from_arrays(columns, schema=_SHARES_ARROW)
+def _sum_rows(items: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    kind = [x[0] for x in items for _ in range(len(x[1]))]
+    columns = [np.concatenate([np.zeros(0, t), *(np.asarray(x[k], t) for x in items)]) for k, t in ((1, np.int64), (2, float), (3, float))]
+    return pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), *map(pa.array, columns)], ["kind", "ctx", "a", "b"])
 
 
 def _pack(key: np.ndarray, columns: list[np.ndarray]) -> bytes:
@@ -603,11 +663,25 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.cumsum(fields[0], dtype=np.uint64), [f.astype(np.int64) for f in fields[1:]]
 
 
-def _by_owner(part: int, level: int, hashes: np.ndarray, key: np.ndarray, column: np.ndarray, n_parts: int) -> list[tuple[int, int, int, bytes]]:
-    """Shares of a part for the owners of hashes (ascending), who own equal ranges of them."""
-    bounds = np.searchsorted(((hashes >> U64(32)) * U64(n_parts)) >> U64(32), np.arange(n_parts + 1, dtype=np.uint64))
-    cuts = [(o, slice(x, y)) for o, (x, y) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())) if y > x]
-    return [(part, o, level, _pack(key[x], [column[x]])) for o, x in cuts]
+def _by_owner(hashes: np.ndarray, key: np.ndarray, column: np.ndarray, n_owners: int) -> list[bytes]:
+    """Shares for the owners of hashes (ascending), who own equal ranges of them."""
+    bounds = np.searchsorted(((hashes >> U64(32)) * U64(n_owners)) >> U64(32), np.arange(n_owners + 1, dtype=np.uint64))
+    return [_pack(key[x:y], [column[x:y]]) if y > x else b"" for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+
+
+def _join(blobs: tuple[bytes, ...]) -> bytes:
+    """The blobs of levels 0, 1, 2 as one; none where all are empty."""
+    return b"".join(len(b).to_bytes(4, "little") + b for b in blobs) if any(blobs) else b""
+
+
+def _levels(blob: bytes) -> dict[int, bytes]:
+    out, at = {}, 0
+    for level in range(3 if blob else 0):
+        size = int.from_bytes(blob[at : at + 4], "little")
+        if size:
+            out[level] = blob[at + 4 : at + 4 + size]
+        at += 4 + size
+    return out
 
 
 def _rounded(x: np.ndarray) -> np.ndarray:
@@ -616,74 +690,46 @@ def _rounded(x: np.ndarray) -> np.ndarray:
     return x >> shift << shift
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _answer(shares: str, answers: str, owner: int, n_parts: int) -> list[tuple]:
     """Sum the shares of each dish and answer each part's with its number at the owner, the sum, and who counts it."""
-    held = defaultdict(list)
-    for batch in batches:
-        for p, o, level, blob in zip(*(batch[k].to_pylist() for k in ("part", "owner", "level", "blob"))):
-            held[o, level].append((p, blob))
-    for (owner, level), shares in sorted(held.items()):
-        got = [(p, *_unpack(blob)) for p, blob in sorted(shares)]
+    held, items, out = defaultdict(list), [], [{} for _ in range(n_parts)]
+    for p in range(n_parts):
+        for level, blob in _levels(_blob(shares, p, owner)).items():
+            held[level].append((p, *_unpack(blob)))
+    for level, got in sorted(held.items()):
         kinds, slot = np.unique(np.concatenate([g[1] for g in got]), return_inverse=True)
         sums = np.bincount(slot, np.concatenate([g[2][0] for g in got]), len(kinds)).astype(np.int64)
-        holders, first = np.bincount(slot, minlength=len(kinds)), np.full(len(kinds), np.iinfo(np.int64).max)
-        np.minimum.at(first, slot, np.repeat([g[0] for g in got], [len(g[1]) for g in got]))
-        yield _sum_rows([(f"owned{level}", 0, [0], [int((sums == 1).sum())], [int((sums == 2).sum())])], owner)
-        at, out = 0, []
+        holders, first = np.bincount(slot, minlength=len(kinds)), np.zeros(len(kinds), np.int64)
+        first[slot[::-1]] = np.repeat([g[0] for g in got], [len(g[1]) for g in got])[::-1]
+        items.append((f"owned{level}", [0], [int((sums == 1).sum())], [int((sums == 2).sum())]))
+        at = 0
         for p, key, _ in got:
             mine = slot[at : at + len(key)]
             at += len(key)
             flag = np.where(holders[mine] == 1, ALONE, np.where(first[mine] == p, FIRST, OTHER))
-            out.append((p, owner, level, _pack(mine.astype(np.uint64), [sums[mine], flag])))
-        yield _shares(out)
-
+            out[p][level] = _pack(mine.astype(np.uint64), [sums[mine], flag])
+    _write(answers, str(owner), [_join(tuple(x.get(k, b"") for k in range(3))) for x in out])
+    return items
 
-def _exchange(rows: DataFrame) -> tuple[str, str]:
-    """Folders of rows (of one part in each partition) and of the owners' answers to the shares among them, by part."""
-    spark = rows.sparkSession
-    own, answered, n_parts = new_folder(spark, "dishes"), new_folder(spark, "restaurants"), partitions(spark)
-    rows.write.partitionBy("part").parquet(own)
-    shares = spark.read.schema(_SHARES).parquet(own).where("level <= 2")
-    answers = shares.repartitionById(n_parts, "owner").mapInArrow(lean(_answer), _SHARES)
-    answers.repartitionById(n_parts, "part").write.partitionBy("part").parquet(answered)
-    del rows, shares, answers
-    collect_garbage(spark)
-    return own, answered
 
-
-def _drop(folders: tuple[str, str]) -> None:
-    for folder in folders:
-        fs, root = pafs.FileSystem.from_uri(folder)
-        fs.delete_dir(root)
+def _answers(folder: str, part: int, n_owners: int) -> dict[int, tuple]:
+    """By level (number at the owner, [sums, flags]) of a part's shared dishes in the order of their hashes."""
+    held = defaultdict(list)
+    for owner in range(n_owners):
+        for level, blob in _levels(_blob(folder, owner, part)).items():
+            held[level].append(_unpack(blob))
+    return {level: (np.concatenate([g[0] for g in got]), [np.concatenate([g[1][k] for g in got]) for k in (0, 1)]) for level, got in held.items()}
 
 
-def _rows(folder: str, part: int) -> Iterator[tuple[int, int, bytes]]:
-    """(owner, level, blob) of a part."""
-    fs, root = pafs.FileSystem.from_uri(folder)
-    for f in fs.get_file_info(pafs.FileSelector(f"{root}/part={part}", allow_not_found=True)):
-        if f.path.endswith(".parquet"):
-            with fs.open_input_file(f.path) as file:
-                got = pq.ParquetFile(file).read(["owner", "level", "blob"])
-            yield from (x for x in zip(*(got[k].to_pylist() for k in ("owner", "level", "blob"))) if x[2] is not None)
-
-
-def _read(folders: tuple[str, str], part: int) -> dict[int, object]:
-    """By level (number at the owner, [sums, flags]) of a part's shared dishes in the order of their hashes; its dishes and seating."""
-    own, answered = folders
-    out = {level: _thaw(blob) for _, level, blob in _rows(own, part) if level > 2}
-    answers = defaultdict(list)
-    for owner, level, blob in _rows(answered, part):
-        answers[level].append((owner, blob))
-    for level, blobs in answers.items():
-        got = [_unpack(b) for _, b in sorted(blobs)]
-        out[level] = np.concatenate([g[0] for g in got]), [np.concatenate([g[1][k] for g in got]) for k in (0, 1)]
-    return out
+def _each(spark: SparkSession, n: int, work: Callable[[int], list[tuple]]) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Do work for 0 .. n - 1, a task each; sums of what it returns, by kind and number."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k in (k for batch in batches for k in batch["id"].to_pylist()):
+            yield _sum_rows(work(k))
 
-def _gather(spark, folders: tuple[str, str]) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Sums by kind and number: hot restaurants, pairs of rounded numbers and a few more."""
-    df = reduce(DataFrame.union, [spark.read.schema(_SHARES).parquet(f) for f in folders])
-    got = df.where("kind is not null").groupBy("kind", "ctx").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
+    rows = spark.range(0, n, 1, n).mapInArrow(lean(run), _SUMS)
+    got = rows.groupBy("kind", "ctx").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
     kinds = np.array(got["kind"].to_pylist(), object)
     ctx, a, b = (np.asarray(got[k]) for k in ("ctx", "a", "b"))
     return {k: (ctx[kinds == k], a[kinds == k], b[kinds == k]) for k in set(kinds.tolist())}
@@ -730,69 +776,83 @@ def score_texts(docs: DataFrame, train: Column | None = None) -> DataFrame:
     train = in_training(F.col("doc_id")) if train is None else train
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     n_parts = partitions(spark)
+    n_owners = -(-n_parts // PARTS_OWNED)
     hot = _hot(docs, n_parts)
-    dealt = cut(_dealt(docs, hot, n_parts).repartitionById(n_parts, "part"))
-
-    def register(rows, part):
-        p = _Part(rows, hot)
-        parts = p.dishes()
-        d = _Dishes(parts)
-        shares = _by_owner(part, 0, d.words, d.words, d.freq0, n_parts)
-        for level, at, keys, c in ((1, d.shared1, d.key1, d.freq1), (2, d.shared2, d.key2, d.c2)):
-            shares += _by_owner(part, level, keys[at], keys[at], c[at], n_parts)
-        yield _shares([*shares, (part, part, DISHES, _freeze(parts))])
-        yield _sum_rows(p.lone(), part)
-
-    def turn(number: int, before, corpus, totals):
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in (p for batch in batches for p in batch["id"].to_pylist()):
-                read = _read(known, part)
-                if DISHES not in read:
-                    continue
-                d = _Dishes(read[DISHES], read)
-                if before is None:
-                    d.begin()
-                else:
-                    past = _read(before, part)
-                    d.restore(past[SEATING], past)
-                    if number == 0:  # customers of the first seating, now that all are known
-                        d.c1, d.c0 = d.next1.copy(), d.next0.copy()
-                    d.turn(corpus.value, totals.value, number)
-                shares = [(part, part, SEATING, _freeze(d.seating()))]
-                shares += _by_owner(part, 0, d.words[d.ask0], d.slot0.astype(np.uint64), d.next0[d.ask0], n_parts)
-                shares += _by_owner(part, 1, d.key1[d.ask1], d.slot1.astype(np.uint64), d.next1[d.ask1], n_parts)
-                yield _shares(shares)
-                yield _sum_rows(d.sums(before is None) + (d.statistics() if before is None else []), part)
-
-        parts = spark.range(0, n_parts, 1, n_parts)
-        return _exchange(parts.mapInArrow(lean(work), _SHARES))
-
-    known = _exchange(dealt.mapInArrow(lean(_each_part(register)), _SHARES))
-    seated = turn(-1, None, None, None)
-    got, lone = _gather(spark, seated), _gather(spark, known)
-    for k in ("once2", "once1", "held2", "held1"):
-        if k in lone:
-            got[k] = tuple(np.concatenate([x, y]) for x, y in zip(got.get(k, (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))), lone[k]))
+    dealt, tables, dishes, known, scored = (new_folder(spark, k) for k in ("dealt", "tables", "dishes", "known", "scored"))
+    flushes = spark.sparkContext.broadcast(_deal(docs, hot, n_parts, dealt, tables))
+    places = spark.sparkContext.broadcast(hot)
+
+    def part_of(part: int, tokens: bool) -> _Part:
+        return _Part([_blob(dealt, name, part) for name in flushes.value], places.value, tokens)
+
+    def exchange(shares: str, answers: str) -> dict:
+        got = _each(spark, n_owners, lambda owner: _answer(shares, answers, owner, n_parts))
+        _drop(shares)
+        return got
+
+    def register(shares: str):
+        def work(part: int) -> list[tuple]:
+            p = part_of(part, False)
+            parts = p.dishes()
+            d = _Dishes(parts)
+            _write(dishes, str(part), [_freeze(parts)])
+            levels = [_by_owner(d.words, d.words, d.freq0, n_owners)]
+            levels += [_by_owner(keys[at], keys[at], c[at], n_owners) for at, keys, c in ((d.shared1, d.key1, d.freq1), (d.shared2, d.key2, d.c2))]
+            _write(shares, str(part), [_join(x) for x in zip(*levels)])
+            return p.lone()
+
+        return work
+
+    def turn(number: int, past: tuple[str, str] | None, now: str, shares: str | None, corpus, totals):
+        def work(part: int) -> list[tuple]:
+            d = _Dishes(_thaw(_blob(dishes, part)), _answers(known, part, n_owners))
+            if past is None:
+                d.begin()
+            else:
+                d.restore(_thaw(_blob(past[0], part)), _answers(past[1], part, n_owners))
+                if number == 0:  # customers of the first seating, now that all are known
+                    d.c1, d.c0 = d.next1.copy(), d.next0.copy()
+                d.turn(corpus.value, totals.value, number)
+            _write(now, str(part), [_freeze(d.seating())])
+            if shares:
+                level0 = _by_owner(d.words[d.ask0], d.slot0.astype(np.uint64), d.next0[d.ask0], n_owners)
+                level1 = _by_owner(d.key1[d.ask1], d.slot1.astype(np.uint64), d.next1[d.ask1], n_owners)
+                _write(shares, str(part), [_join((*x, b"")) for x in zip(level0, level1)])
+            return d.sums(past is None) + (d.statistics() if past is None else [])
+
+        return work
+
+    shares = new_folder(spark, "shares")
+    lone = _each(spark, n_parts, register(shares))
+    exchange(shares, known)
+    seated, shares, answers = (new_folder(spark, k) for k in ("seating", "shares", "answers"))
+    got = _each(spark, n_parts, turn(-1, None, seated, shares, None, None))
+    for more in (lone, exchange(shares, answers)):
+        for k, v in more.items():
+            got[k] = tuple(np.concatenate([x, y]) for x, y in zip(got[k], v)) if k in got else v
     totals, draws = _totals(got, hot), []
     corpus = _fit(got, totals) if "size" in got else Corpus(0.0, 0.0, (0.5,) * 3, (1.0,) * 3)
     shared = spark.sparkContext.broadcast(corpus)
-    for number in range(BURN_IN + DRAWS if corpus.n else 0):
-        past, seated = seated, turn(number, seated, shared, spark.sparkContext.broadcast(totals))
-        if number <= BURN_IN:
-            _drop(past)
-        totals = _totals(_gather(spark, seated), hot)
+    turns = BURN_IN + DRAWS if corpus.n else 0
+    for number in range(turns):
+        past, seated = (seated, answers), new_folder(spark, "seating")
+        shares, answers = (new_folder(spark, k) for k in ("shares", "answers")) if number < turns - 1 else (None, None)
+        got = _each(spark, n_parts, turn(number, past, seated, shares, shared, spark.sparkContext.broadcast(totals)))
+        _drop(past[1], *([past[0]] if number <= BURN_IN else []))
+        if shares:
+            exchange(shares, answers)
+        totals = _totals(got, hot)
         if number >= BURN_IN:
             draws.append((seated, totals))
     kept = spark.sparkContext.broadcast(draws)
 
-    def score(rows, part):
-        corpus, p = shared.value, _Part(rows, hot)
-        read = _read(known, part)
-        d = _Dishes(read[DISHES], read)
+    def score(part: int) -> list[tuple]:
+        corpus, p = shared.value, part_of(part, True)
+        d = _Dishes(_thaw(_blob(dishes, part)), _answers(known, part, n_owners))
         c2, prob = p.c2.copy(), np.zeros(len(p.c2))
         c2[p.in2] = d.c2
-        for folders, totals in kept.value:
-            d.t2, d.t1, d.c1, _, d.t0, d.c0, _ = _read(folders, part)[SEATING]
+        for folder, totals in kept.value:
+            d.t2, d.t1, d.c1, _, d.t0, d.c0, _ = _thaw(_blob(folder, part))
             t2, c1, t1 = c2.copy(), p.freq1.copy(), p.freq1.copy()
             t2[p.in2], c1[p.in1], t1[p.in1] = d.t2, d.c1, d.t1
             all2 = [_sum_hot(np.bincount(p.ctx2, x, len(p.rest2)), p.hot2, h)[p.ctx2] for x, h in ((c2, totals.c2), (t2, totals.t2))]
@@ -800,47 +860,47 @@ def score_texts(docs: DataFrame, train: Column | None = None) -> DataFrame:
             p1 = corpus.one(c1, t1, *all1, corpus.root(totals, d.c0.astype(float), d.t0)[p.up1])
             prob += corpus.two(c2, t2, *all2, p1[p.up2])
         logs = np.log10(prob / len(kept.value)) if kept.value else prob
-        word = p.up1[p.up2][p.token]
+        word = p.up1[p.up2]
         base = np.log10((d.freq0 + 1) / (corpus.n + corpus.v + 1))
-        values = ((d.freq0 > 0)[word], base[word], logs[p.token])
-        squeeze = zstandard.ZstdCompressor(level=1)
-        out = {"flush": [], "n_docs": [], "table": [], "sums": []}
-        for flush, base_, n_docs, table, mine in p.flushes:
-            row, at = np.unique(p.doc[mine] - base_, return_inverse=True)
-            sums = [np.bincount(at, minlength=len(row)), *(np.bincount(at, x[mine], len(row)) for x in values)]
-            out["flush"].append(flush)
-            out["n_docs"].append(n_docs)
-            out["table"].append(table)
-            out["sums"].append(squeeze.compress(b"".join(_plane(x.astype(k)) for x, k in zip((np.diff(row, prepend=0), *sums), ("<u4", "<u4", "<u4", "<f8", "<f8")))))
-        yield pa.RecordBatch.from_pydict(out, pa.schema([("flush", pa.int64()), ("n_docs", pa.int32()), ("table", pa.binary()), ("sums", pa.binary())]))
-
-    def unite(table: pa.Table) -> pa.Table:
-        open_ = zstandard.ZstdDecompressor()
-        n = table["n_docs"][0].as_py()
-        total = [np.zeros(n) for _ in range(4)]
-        ids = null = train = None
-        # in one order of the parts' sums, so that repeated runs give the same bits
-        for sums in sorted(table["sums"].to_pylist()):
-            raw = open_.decompress(sums)
-            size = len(raw) // 28
-            row = np.cumsum(_unplane(raw[: 4 * size], "<u4"), dtype=np.int64)
-            for k, (kind, at) in enumerate((("<u4", 4), ("<u4", 8), ("<f8", 12), ("<f8", 20))):
-                total[k][row] += _unplane(raw[at * size : (at + int(kind[2])) * size], kind)
-        for t in table["table"].to_pylist():
-            if t is not None:
-                t = open_.decompress(t)
-                ids, null, train = np.frombuffer(t, "<i8", n), np.frombuffer(t, np.uint8, n, 8 * n).astype(bool), np.frombuffer(t, np.uint8, n, 9 * n).astype(bool)
-        return pa.table(
-            {
+        values, out = ((d.freq0 > 0)[word], base[word], logs), []
+        for mine in p.flushes:
+            row, token = p.row[mine], p.token[mine]
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            if not len(first):
+                out.append(b"")
+                continue
+            sums = [np.diff(np.append(first, len(row))), *(np.add.reduceat(x[token].astype(float), first) for x in values)]
+            raw = b"".join(_plane(x.astype(k)) for x, k in zip((np.diff(row[first], prepend=0), *sums), ("<u4", "<u4", "<u4", "<f8", "<f8")))
+            out.append(_zstd()[0].compress(raw))
+        _write(scored, str(part), out)
+        return []
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k in (k for batch in batches for k in batch["id"].to_pylist()):
+            raw = _zstd()[1].decompress(_blob(tables, flushes.value[k]))
+            n = len(raw) // 10
+            total = [np.zeros(n) for _ in range(4)]
+            # in the order of parts, so that repeated runs give the same bits
+            for part in range(n_parts):
+                blob = _blob(scored, part, k)
+                sums = _zstd()[1].decompress(blob) if blob else b""
+                size = len(sums) // 28
+                row = np.cumsum(_unplane(sums[: 4 * size], "<u4"), dtype=np.int64)
+                for j, (kind, at) in enumerate((("<u4", 4), ("<u4", 8), ("<f8", 12), ("<f8", 20))):
+                    total[j][row] += _unplane(sums[at * size : (at + int(kind[2])) * size], kind)
+            ids, null, train = np.frombuffer(raw, "<i8", n), np.frombuffer(raw, np.uint8, n, 8 * n).astype(bool), np.frombuffer(raw, np.uint8, n, 9 * n).astype(bool)
+            columns = {
                 "doc_id": pa.array(ids, pa.int64(), mask=null),
                 "held_out": pa.array(~train),
                 "n_tokens": pa.array(total[0].astype(np.int64)),
                 "n_known": pa.array(total[1].astype(np.int64)),
-                "train_tokens": pa.array(np.full(n, int(corpus.n)), pa.int64()),
+                "train_tokens": pa.array(np.full(n, int(shared.value.n)), pa.int64()),
                 "base_score": pa.array(total[2]),
                 "score": pa.array(total[3]),
             }
-        )
+            yield pa.RecordBatch.from_pydict(columns)
 
-    sums = dealt.mapInArrow(lean(_each_part(score)), "flush long, n_docs int, table binary, sums binary")
-    return sums.groupBy("flush").applyInArrow(unite, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    _each(spark, n_parts, score)
+    _drop(dealt, dishes, known, seated, *(folder for folder, _ in draws), *([answers] if answers else []))
+    n = len(flushes.value)
+    return spark.range(0, n, 1, max(n, 1)).mapInArrow(lean(unite), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -11,10 +11,10 @@ that tables bring to the parent's restaurant arrive there a turn later, as they
 tables and totals are of one moment, so that each draw's predictive distribution sums to one; predictive probabilities are averaged over
 draws. Random numbers are hashes of the dish and the turn: the scores do not depend on partitions.
 
-Data flow. Tokens travel once, packed in arrays, to the partition of the word before them; if that is hot, to that of both words
+Data flow. Tokens are written once, packed in arrays, a file a flush in the shared folder with a blob for each partition, without a shuffle. They belong to that of the word before them; if that is hot, to that of both words
 before, and if these are hot together, by their document. So a restaurant is whole in one partition unless it is hot. What several
 partitions hold of a dish (of all words at the root, of hot restaurants) goes to the owner of its hash, who sums the shares and answers each; the
-answers are kept in the shared folder, a file a partition. All holders of a dish draw the same number of tables, and the first of
+answers are files in the shared folder, too, a blob a reader. All holders of a dish draw the same number of tables, and the first of
 them counts it. Turns read dishes of two customers or more alone, the others have one table whatever is drawn.
 Only sums over all restaurants and those of hot restaurants (at most 16 times the partitions) go to the driver.
 """
@@ -641,13 +641,23 @@ class _Dishes:
         return [*items, ("size", [0], [int((self.freq0 * self.count0).sum())], [int(((self.freq0 > 0) & self.count0).sum())])]
 
 
-_SUMS = "kind string, ctx long, a double, b double"
+#: Kinds of sums for the driver.
+KINDS = ("root", "hot1", "hot2", "once0", "once1", "once2", "held1", "held2", "owned0", "owned1", "owned2", "size")
 
 
-def _sum_rows(items: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    kind = [x[0] for x in items for _ in range(len(x[1]))]
-    columns = [np.concatenate([np.zeros(0, t), *(np.asarray(x[k], t) for x in items)]) for k, t in ((1, np.int64), (2, float), (3, float))]
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), *map(pa.array, columns)], ["kind", "ctx", "a", "b"])
+def _summed(items: list[tuple]) -> list[np.ndarray]:
+    """(kind's place in KINDS, number, a, b), once for each kind and number, of (kind, numbers, a, b)."""
+    kind = np.repeat([KINDS.index(x[0]) for x in items], [len(x[1]) for x in items]).astype(np.int64)
+    ctx, a, b = (np.concatenate([np.zeros(0, t), *(np.asarray(x[k], t) for x in items)]) for k, t in ((1, np.int64), (2, float), (3, float)))
+    order = np.lexsort((ctx, kind))
+    kind, ctx, a, b = kind[order], ctx[order], a[order], b[order]
+    first = np.flatnonzero((np.diff(kind, prepend=-1) != 0) | (np.diff(ctx, prepend=-1) != 0))
+    return [kind[first], ctx[first], *((np.add.reduceat(x, first) if len(first) else x) for x in (a, b))]
+
+
+def _by_kind(sums: list[np.ndarray]) -> list[tuple]:
+    kind, ctx, a, b = sums
+    return [(KINDS[k], ctx[kind == k], a[kind == k], b[kind == k]) for k in np.unique(kind).tolist()]
 
 
 def _pack(key: np.ndarray, columns: list[np.ndarray]) -> bytes:
@@ -726,13 +736,14 @@ def _each(spark: SparkSession, n: int, work: Callable[[int], list[tuple]]) -> di
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in (k for batch in batches for k in batch["id"].to_pylist()):
-            yield _sum_rows(work(k))
+            yield pa.RecordBatch.from_pydict({"sums": [_freeze(_summed(work(k)))]})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pydict({"sums": [_freeze(_summed([x for batch in batches for blob in batch["sums"].to_pylist() for x in _by_kind(_thaw(blob))]))]})
 
-    rows = spark.range(0, n, 1, n).mapInArrow(lean(run), _SUMS)
-    got = rows.groupBy("kind", "ctx").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
-    kinds = np.array(got["kind"].to_pylist(), object)
-    ctx, a, b = (np.asarray(got[k]) for k in ("ctx", "a", "b"))
-    return {k: (ctx[kinds == k], a[kinds == k], b[kinds == k]) for k in set(kinds.tolist())}
+    # a blob a task, and for the driver one of sixteen tasks
+    rows = spark.range(0, n, 1, n).mapInArrow(lean(run), "sums binary").repartition(-(-n // 16)).mapInArrow(lean(add), "sums binary").collect()
+    return {k: v for k, *v in _by_kind(_summed([x for r in rows for x in _by_kind(_thaw(bytes(r.sums)))]))}
 
 
 def _totals(got: dict, hot: tuple[np.ndarray, np.ndarray]) -> Totals:

@@ -258,6 +258,19 @@ def test_seating_over_all_tables():
     assert hpylm.draw_tables(np.full(9, 10**6), np.full(9, 1.0), np.full(9, 0.5), 0.8, 3000.0, keys[:9], 1).min() > 512
 
 
+def test_language_model_keeps_tokens_once(spark, monkeypatch, tmp_path):
+    # no token and no table goes through a shuffle, files go with the score, and a task gives the driver one row
+    rng = random.Random(5)
+    d = spark.createDataFrame([(i, " ".join(f"w{int(rng.expovariate(0.01))}" for _ in range(50))) for i in range(200)], "doc_id long, text string")
+    monkeypatch.setattr(hpylm, "new_folder", lambda _, name: f"file://{tmp_path}/{name}-{rng.random()}")
+    out = hpylm.score_texts(d)
+    assert {p.name.split("-")[0] for p in tmp_path.iterdir()} == {"tables", "scored"}
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 200
+    work = lambda k: [("held1", np.arange(300), np.ones(300), np.full(300, k)), ("size", [0], [1], [k])]
+    got = hpylm._each(spark, 40, work)
+    assert (got["held1"][1] == 40).all() and (got["held1"][2] == 780).all() and got["size"][2][0] == 780 and len(got["held1"][0]) == 300
+
+
 def test_language_model_keeps_contexts_apart(spark):
     # followers that the last word alone does not tell, but the last two do; and many last words that end alike
     n = 1500

@@ -11,18 +11,20 @@ that tables bring to the parent's restaurant arrive there a turn later, as they
 tables and totals are of one moment, so that each draw's predictive distribution sums to one; predictive probabilities are averaged over
 draws. Random numbers are hashes of the dish and the turn: the scores do not depend on partitions.
 
-Data flow. Tokens are written once, packed in arrays, a file a flush in the shared folder with a blob for each partition, without a shuffle. They belong to that of the word before them; if that is hot, to that of both words
-before, and if these are hot together, by their document. So a restaurant is whole in one partition unless it is hot. What several
+Data flow. Tokens go through one Spark shuffle, packed in arrays, a row for each flush and partition. Its files are the only place where they lie: the first and the last pass read them there.
+Tokens belong to the partition of the word before them; if that is hot, to that of both words before, and if these are hot together, by their document. So a restaurant is whole in one partition unless it is hot. What several
 partitions hold of a dish (of all words at the root, of hot restaurants) goes to the owner of its hash, who sums the shares and answers each; the
-answers are files in the shared folder, too, a blob a reader. All holders of a dish draw the same number of tables, and the first of
+answers are files in the shared folder, a blob a reader. All holders of a dish draw the same number of tables, and the first of
 them counts it. Turns read dishes of two customers or more alone, the others have one table whatever is drawn.
 Only sums over all restaurants and those of hot restaurants (at most 16 times the partitions) go to the driver.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import uuid
+import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -33,14 +35,14 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
 from numpy.polynomial.chebyshev import chebvander
-from pyspark import TaskContext
+from pyspark import RDD, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from palisade.llm._text import U64, mix, words
-from palisade.llm._work import lean, new_folder, partitions, small_batches
+from palisade.llm._work import collect_garbage, lean, new_folder, partitions, small_batches
 
-#: Tokens that a task packs at once.
-FLUSH = 5_000_000
+#: Tokens that a task packs at once; bytes of them that it hands to the shuffle at once.
+FLUSH, SENT = 5_000_000, 1 << 22
 #: Words and contexts with more than this part of a partition's fair share of the tokens are hot; a routing choice without effect on results.
 HOT_PART = 1 / 8
 #: What the owners' answers call dishes that one partition holds alone, that it counts, and that another counts.
@@ -175,8 +177,12 @@ def _drop(*folders: str) -> None:
             fs.delete_dir(root)
 
 
-def _deal(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], n_parts: int, folder: str, tables: str) -> list[str]:
-    """Write packed tokens, a file a flush and a blob a part, and each flush's table (ids, which are null, training marks); the files' names."""
+def _deal(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], n_parts: int, tables: str) -> RDD:
+    """Shuffled rows (part, name, blob): partition p has p's packed tokens, a row a flush even if it has none, and one without a name.
+
+    Write each flush's table (ids, which are null, training marks). A flush's name tells its contents, so that a task that runs again
+    gives the same names or, where documents came in another order, is found out.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +192,7 @@ def _deal(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], n_parts: int, fol
         held: list[tuple] = []
         size = 0
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             nonlocal turn, held, size
             w = np.concatenate([x[0] for x in held])
             ends = np.concatenate([x[1] for x in held]) + np.repeat(np.cumsum([0, *(len(x[0]) for x in held[:-1])]), [len(x[1]) for x in held])
@@ -231,12 +237,16 @@ def _deal(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], n_parts: int, fol
                 rows = row[take]
                 fields = [_plane(np.diff(every[used], prepend=U64(0))), *(_plane(x) for x in place[mine].reshape(3, -1)), _plane(np.diff(rows, prepend=np.uint32(0))), train[rows].tobytes()]
                 out.append(squeeze.compress(b"".join(len(f).to_bytes(4, "little") + f for f in fields)))
-            name = f"{task:06d}-{turn:06d}-{uuid.uuid4().hex}"
-            turn += 1
             table = np.array([i or 0 for i in ids], "<i8").tobytes() + np.array([i is None for i in ids], np.uint8).tobytes() + train.tobytes()
-            _write(folder, name, out)
+            told = hashlib.blake2b(table, digest_size=12)
+            for blob in out:
+                told.update(len(blob).to_bytes(8, "little") + blob)
+            name = f"{task:06d}-{turn:06d}-{told.hexdigest()}"
+            turn += 1
             _write(tables, name, [squeeze.compress(table)])
-            return pa.RecordBatch.from_pydict({"name": [name]})
+            turns = np.cumsum([len(blob) for blob in out]) // SENT
+            for parts in np.split(np.arange(n_parts), np.flatnonzero(np.diff(turns)) + 1):
+                yield pa.RecordBatch.from_pydict({"part": pa.array(parts, pa.int32()), "name": [name] * len(parts), "blob": pa.array([out[p] for p in parts], pa.binary())})
 
         for batch in batches:
             if not batch.num_rows:
@@ -244,11 +254,12 @@ def _deal(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], n_parts: int, fol
             held.append((*sequence(batch["text"]), batch["doc_id"].to_pylist(), np.array(batch["train"].to_pylist(), np.uint8)))
             size += len(held[-1][0])
             if size >= FLUSH:
-                yield flush()
+                yield from flush()
         if held:
-            yield flush()
+            yield from flush()
 
-    return sorted(r.name for r in docs.mapInArrow(lean(pack), "name string").collect())
+    every = docs.sparkSession.range(0, n_parts, 1, 1).select(F.col("id").cast("int").alias("part"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("binary").alias("blob"))
+    return docs.mapInArrow(lean(pack), "part int, name string, blob binary").union(every).repartitionById(n_parts, "part").rdd
 
 
 def likeliest_strength(customers: np.ndarray, tables: np.ndarray, discount: float, often: np.ndarray | None = None) -> float:
@@ -642,7 +653,7 @@ class _Dishes:
 
 
 #: Kinds of sums for the driver.
-KINDS = ("root", "hot1", "hot2", "once0", "once1", "once2", "held1", "held2", "owned0", "owned1", "owned2", "size")
+KINDS = ("root", "hot1", "hot2", "once0", "once1", "once2", "held1", "held2", "owned0", "owned1", "owned2", "size", "flushes")
 
 
 def _summed(items: list[tuple]) -> list[np.ndarray]:
@@ -738,11 +749,41 @@ def _each(spark: SparkSession, n: int, work: Callable[[int], list[tuple]]) -> di
         for k in (k for batch in batches for k in batch["id"].to_pylist()):
             yield pa.RecordBatch.from_pydict({"sums": [_freeze(_summed(work(k)))]})
 
+    return _added(spark.range(0, n, 1, n).mapInArrow(lean(run), "sums binary"), n)
+
+
+def _digest(names: list[str]) -> int:
+    return zlib.crc32("".join(names).encode())
+
+
+def _each_part(spark: SparkSession, tokens: RDD, n: int, work: Callable[[int, list[str], list[bytes]], list[tuple]], known: list[str] | None = None) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The same, for each of n parts with the names of all flushes, ascending, and its blob of each. All must see the same flushes, the known ones."""
+
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        held = defaultdict(list)
+        for part, name, blob in rows:
+            held[part] += [(name, bytes(blob))] if name else []
+        for part in sorted(held):
+            flushes = sorted(held.pop(part))
+            names = [name for name, _ in flushes]
+            items = [("flushes", [_digest(names)], [1], [0]), *work(part, names, [blob for _, blob in flushes])]
+            yield (_freeze(_summed(items)),)
+
+    got = _added(spark.createDataFrame(tokens.mapPartitions(lean(run)), "sums binary", verifySchema=False), n)
+    seen, parts, _ = got.pop("flushes")
+    if parts.tolist() != [n] or known is not None and seen.tolist() != [_digest(known)]:
+        raise RuntimeError("lost tokens were dealt again from documents in another order; the documents must be written first")
+    return got
+
+
+def _added(sums: DataFrame, n: int) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The sums of n tasks' frozen ones, by kind and number."""
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"sums": [_freeze(_summed([x for batch in batches for blob in batch["sums"].to_pylist() for x in _by_kind(_thaw(blob))]))]})
 
     # a blob a task, and for the driver one of sixteen tasks
-    rows = spark.range(0, n, 1, n).mapInArrow(lean(run), "sums binary").repartition(-(-n // 16)).mapInArrow(lean(add), "sums binary").collect()
+    rows = sums.repartition(-(-n // 16)).mapInArrow(lean(add), "sums binary").collect()
     return {k: v for k, *v in _by_kind(_summed([x for r in rows for x in _by_kind(_thaw(bytes(r.sums)))]))}
 
 
@@ -789,21 +830,20 @@ def score_texts(docs: DataFrame, train: Column | None = None) -> DataFrame:
     n_parts = partitions(spark)
     n_owners = -(-n_parts // PARTS_OWNED)
     hot = _hot(docs, n_parts)
-    dealt, tables, dishes, known, scored = (new_folder(spark, k) for k in ("dealt", "tables", "dishes", "known", "scored"))
-    flushes = spark.sparkContext.broadcast(_deal(docs, hot, n_parts, dealt, tables))
+    tables, dishes, known, scored = (new_folder(spark, k) for k in ("tables", "dishes", "known", "scored"))
+    tokens = _deal(docs, hot, n_parts, tables)
     places = spark.sparkContext.broadcast(hot)
 
-    def part_of(part: int, tokens: bool) -> _Part:
-        return _Part([_blob(dealt, name, part) for name in flushes.value], places.value, tokens)
-
     def exchange(shares: str, answers: str) -> dict:
         got = _each(spark, n_owners, lambda owner: _answer(shares, answers, owner, n_parts))
         _drop(shares)
         return got
 
     def register(shares: str):
-        def work(part: int) -> list[tuple]:
-            p = part_of(part, False)
+        def work(part: int, names: list[str], blobs: list[bytes]) -> list[tuple]:
+            if part == 0:
+                _write(dishes, "names", ["\n".join(names).encode()])
+            p = _Part(blobs, places.value)
             parts = p.dishes()
             d = _Dishes(parts)
             _write(dishes, str(part), [_freeze(parts)])
@@ -834,7 +874,8 @@ def score_texts(docs: DataFrame, train: Column | None = None) -> DataFrame:
         return work
 
     shares = new_folder(spark, "shares")
-    lone = _each(spark, n_parts, register(shares))
+    lone = _each_part(spark, tokens, n_parts, register(shares))
+    flushes = spark.sparkContext.broadcast(_blob(dishes, "names").decode().split())
     exchange(shares, known)
     seated, shares, answers = (new_folder(spark, k) for k in ("seating", "shares", "answers"))
     got = _each(spark, n_parts, turn(-1, None, seated, shares, None, None))
@@ -857,8 +898,8 @@ def score_texts(docs: DataFrame, train: Column | None = None) -> DataFrame:
             draws.append((seated, totals))
     kept = spark.sparkContext.broadcast(draws)
 
-    def score(part: int) -> list[tuple]:
-        corpus, p = shared.value, part_of(part, True)
+    def score(part: int, names: list[str], blobs: list[bytes]) -> list[tuple]:
+        corpus, p = shared.value, _Part(blobs, places.value, True)
         d = _Dishes(_thaw(_blob(dishes, part)), _answers(known, part, n_owners))
         c2, prob = p.c2.copy(), np.zeros(len(p.c2))
         c2[p.in2] = d.c2
@@ -911,7 +952,9 @@ def score_texts(docs: DataFrame, train: Column | None = None) -> DataFrame:
             }
             yield pa.RecordBatch.from_pydict(columns)
 
-    _each(spark, n_parts, score)
-    _drop(dealt, dishes, known, seated, *(folder for folder, _ in draws), *([answers] if answers else []))
+    _each_part(spark, tokens, n_parts, score, flushes.value)
+    del tokens
+    collect_garbage(spark)
+    _drop(dishes, known, seated, *(folder for folder, _ in draws), *([answers] if answers else []))
     n = len(flushes.value)
     return spark.range(0, n, 1, max(n, 1)).mapInArrow(lean(unite), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -271,6 +271,44 @@ def test_language_model_keeps_tokens_once(spark, monkeypatch, tmp_path):
     assert (got["held1"][1] == 40).all() and (got["held1"][2] == 780).all() and got["size"][2][0] == 780 and len(got["held1"][0]) == 300
 
 
+def test_language_model_gathers_the_whole_corpus_by_a_shuffle(spark, monkeypatch):
+    # what Spark moves follows the corpus; tokens lie in the shuffle alone, and it goes with the score; the same scores from many flushes
+    from palisade.llm import _work
+
+    rng = random.Random(6)
+    d = spark.createDataFrame([(i, " ".join(f"w{rng.getrandbits(40)} the" for _ in range(50))) for i in range(800)], "doc_id long, text string")
+    sc, folders, cleaned = spark.sparkContext, [], []
+    monkeypatch.setattr(hpylm, "new_folder", lambda s, name: folders.append(name) or _work.new_folder(s, name))
+    monkeypatch.setattr(hpylm, "collect_garbage", lambda s: cleaned.append(s))
+
+    def sent():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    moved, seen, at = [], [], sent()
+    for docs in (d.where("doc_id < 200"), d):
+        seen.append({r.doc_id: r.score for r in hpylm.score_texts(docs).collect()})
+        moved.append(sent() - at)
+        at += moved[-1]
+    assert moved[1] > 3 * moved[0] and moved[1] > 800 * 50 * 8 and "dealt" not in folders and len(cleaned) == 2
+    monkeypatch.setattr(hpylm, "FLUSH", 3000)
+    monkeypatch.setattr(hpylm, "SENT", 1000)
+    many = {r.doc_id: r.score for r in hpylm.score_texts(d).collect()}
+    assert many.keys() == seen[1].keys() and len(many) == 800 and all(abs(many[k] - seen[1][k]) < 1e-9 for k in many)
+
+
+def test_language_model_finds_out_tokens_dealt_anew(spark):
+    # parts that saw other flushes, or others than those of the pass before, do not go together
+    work = lambda part, names, blobs: [("size", [0], [len(names)], [part])]
+    given = [(part, name, b"x") for part in range(4) for name in ("b", "a")] + [(9, None, None)]
+    each = lambda rows_, n, known=None: hpylm._each_part(spark, spark.sparkContext.parallelize(rows_, 1), n, work, known)
+    assert [x.tolist() for x in each(given[:-1], 4, ["a", "b"])["size"]] == [[0], [8], [6]]
+    for rows_, n, known in ((given, 5, None), (given[:-1], 5, None), (given[:-1], 4, ["a", "c"])):
+        with pytest.raises(RuntimeError, match="dealt again"):
+            each(rows_, n, known)
+
+
 def test_language_model_keeps_contexts_apart(spark):
     # followers that the last word alone does not tell, but the last two do; and many last words that end alike
     n = 1500

@@ -51,8 +51,8 @@ ALONE, FIRST, OTHER = 0, 1, 2
 PARTS_OWNED = 4
 #: Most customers whose Stirling numbers are by recursion; most whose first ones are from one table; steps of a contour.
 EXACT, FAR, NODES = 1024, 1 << 40, 24
-#: Dishes of up to so many customers are drawn over all t at once; numbers held in one look.
-SMALL, CHUNK = 24, 1 << 20
+#: Dishes of up to so many customers are drawn over all t at once; numbers held in one look at these and at others.
+SMALL, SMALL_CHUNK, CHUNK = 24, 1 << 17, 1 << 20
 BURN_IN, DRAWS = 2, 3
 #: Strengths that are tried; each level takes the likeliest for what its restaurants hold.
 STRENGTHS = tuple(float(x) for x in np.geomspace(0.1, 3000, 16))
@@ -385,20 +385,30 @@ def draw_tables(c: np.ndarray, total: np.ndarray, parent: np.ndarray, discount:
     group = np.minimum(c, SMALL + 1)
     order = np.argsort(group, kind="stable")
     bounds = np.searchsorted(group[order], np.arange(2, SMALL + 3))
-    for i, size in enumerate(range(2, SMALL + 2)):
-        todo, width = order[bounds[i] : bounds[i + 1]], size if size <= SMALL else 2 * SMALL
-        while len(todo):
-            more = []
-            step = max(CHUNK // width, 1)
-            for at in np.split(todo, range(step, len(todo), step)):
-                t = np.arange(width)
-                weight = stirling_rows(c[at], discount, width) + np.cumsum(np.log(strength + discount * (others[at, None] + t)), axis=1) + (t + 1) * np.log(parent[at])[:, None]
-                weight -= weight.max(axis=1, keepdims=True)
-                p = np.exp(weight).cumsum(axis=1)
-                new[at] = 1 + (p < u[at, None] * p[:, -1:]).sum(axis=1)
-                more.append(at[(c[at] > width) & (weight[:, -1] > -35)])
-            todo = np.concatenate(more)
-            width = min(4 * width, int(c[todo].max(initial=0)))
+    for i, size in enumerate(range(2, SMALL + 1)):
+        ratio, todo = np.exp(np.diff(_stirling(discount)[size, 1 : size + 1])), order[bounds[i] : bounds[i + 1]]
+        step = SMALL_CHUNK // size
+        for at in np.split(todo, range(step, len(todo), step)) if len(todo) else ():
+            base, each = strength + discount * others[at], parent[at]
+            # weights against that of one table, a line for each t, and their sums so far
+            weight, p = np.ones(len(at)), np.ones((size, len(at)))
+            for t in range(1, size):
+                weight = weight * (ratio[t - 1] * each * (base + discount * t))
+                np.add(p[t - 1], weight, out=p[t])
+            new[at] = 1 + (p < u[at] * p[-1]).sum(axis=0)
+    todo, width = order[bounds[-2] : bounds[-1]], 2 * SMALL
+    while len(todo):
+        more = []
+        step = max(CHUNK // width, 1)
+        for at in np.split(todo, range(step, len(todo), step)):
+            t = np.arange(width)
+            weight = stirling_rows(c[at], discount, width) + np.cumsum(np.log(strength + discount * (others[at, None] + t)), axis=1) + (t + 1) * np.log(parent[at])[:, None]
+            weight -= weight.max(axis=1, keepdims=True)
+            p = np.exp(weight).cumsum(axis=1)
+            new[at] = 1 + (p < u[at, None] * p[:, -1:]).sum(axis=1)
+            more.append(at[(c[at] > width) & (weight[:, -1] > -35)])
+        todo = np.concatenate(more)
+        width = min(4 * width, int(c[todo].max(initial=0)))
     return new
 
 

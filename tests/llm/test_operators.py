@@ -243,6 +243,20 @@ def test_seating():
     assert np.abs((near - near[0]) - (far - far[0])).max() < 0.3  # of numbers that span hundreds
 
 
+def test_seating_of_few_customers():
+    # each draw is the inverse of its own conditional's sums, also where that takes none but one or all tables
+    keys, rng = mix(np.arange(1, 401, dtype=np.uint64)), np.random.default_rng(2)
+    c, others, parent = rng.integers(0, 25, 400), rng.integers(0, 10**5, 400) * rng.integers(0, 2, 400), 10.0 ** -rng.uniform(0, 300, 400) ** rng.uniform(0, 1, 400)
+    drawn = hpylm.draw_tables(c, others + 1.0, parent, 0.6, 3.0, keys, 2)
+    log_s, u = hpylm.log_stirling(0.6, 24), hpylm._uniform(keys, 2)
+    for k in range(400):
+        t = np.arange(c[k])
+        w = log_s[c[k], 1 : c[k] + 1] + np.cumsum(np.log(3.0 + 0.6 * (others[k] + t))) + (t + 1) * np.log(parent[k])
+        p = np.exp(w - w.max(initial=-np.inf)).cumsum()
+        assert drawn[k] == (1 + (p < u[k] * p[-1]).sum() if c[k] else 0)
+    assert (drawn == c)[c > 5].any() and (drawn == 1)[c > 5].any()
+
+
 def test_seating_over_all_tables():
     # dishes that want more than 512 tables, of numbers of customers below and beyond those of the recursion
     keys = mix(np.arange(1, 2001, dtype=np.uint64))
